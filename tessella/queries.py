@@ -34,10 +34,10 @@ def queries() -> dict[str, Query]:
 _PARENTS = """
 first AS (SELECT url, min(result_id) AS id FROM stored_results WHERE url IS NOT NULL GROUP BY url),
 par AS (SELECT f.url, nullif(s.metadata.parent_url, '') AS up FROM first f JOIN stored_results s ON s.result_id = f.id),
-walk AS (SELECT url, url AS at, CAST(0 AS BIGINT) AS d, [url] AS seen, false AS ring FROM par
-  UNION ALL SELECT w.url, p.up, w.d + 1, list_append(w.seen, p.up), list_contains(w.seen, p.up) FROM walk w JOIN par p ON p.url = w.at WHERE p.up IS NOT NULL AND NOT w.ring),
-last AS (SELECT url, arg_max(at, d) AS root, max(d) AS d, bool_or(ring) AS ring, arg_max(seen, d) AS seen FROM walk GROUP BY url),
-below AS (SELECT w.at AS url, count(*) AS n FROM walk w JOIN last l ON l.url = w.url WHERE NOT l.ring AND w.d > 0 GROUP BY w.at)
+walk AS (SELECT url, url AS cur, CAST(0 AS BIGINT) AS d, [url] AS seen, false AS ring FROM par
+  UNION ALL SELECT w.url, p.up, w.d + 1, list_append(w.seen, p.up), list_contains(w.seen, p.up) FROM walk w JOIN par p ON p.url = w.cur WHERE p.up IS NOT NULL AND NOT w.ring),
+fin AS (SELECT url, arg_max(cur, d) AS root, max(d) AS d, bool_or(ring) AS ring, arg_max(seen, d) AS seen FROM walk GROUP BY url),
+below AS (SELECT w.cur AS url, count(*) AS n FROM walk w JOIN fin l ON l.url = w.url WHERE NOT l.ring AND w.d > 0 GROUP BY w.cur)
 """
 
 
@@ -47,7 +47,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT l.url, CASE WHEN l.ring THEN '' ELSE l.root END AS root_url, CASE WHEN l.ring THEN -1 ELSE l.d END AS tree_depth,
               CAST(CASE WHEN NOT l.ring THEN 0 WHEN l.root = l.url THEN 1 ELSE 2 END AS BIGINT) AS ring_state,
               CASE WHEN l.ring THEN -1 ELSE coalesce(b.n, 0) END AS n_below
-            FROM last l LEFT JOIN below b ON b.url = l.url""",
+            FROM fin l LEFT JOIN below b ON b.url = l.url""",
         "p5_paths": f"""WITH RECURSIVE {_PARENTS}
-            SELECT url, array_to_string(list_reverse(seen), chr(10)) AS path, CAST(len(seen) AS BIGINT) AS n_path FROM last WHERE NOT ring""",
+            SELECT url, array_to_string(list_reverse(seen), chr(10)) AS path, CAST(len(seen) AS BIGINT) AS n_path FROM fin WHERE NOT ring""",
     }
