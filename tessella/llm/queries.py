@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.common import table
-from tessella.llm import bpe, seen, sitelines
+from tessella.llm import bpe, leakage, seen, sitelines, subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,8 +48,26 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_corpus(table(spark, d, "documents"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    """Which test items have leaked, and into how many documents."""
+    return leakage.leaked_items(p8_found(spark, d), table(spark, d, "eval_items"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects_of(table(spark, d, "documents"), table(spark, d, "subject_labels"), table(spark, d, "subject_areas"))
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents per subject."""
+    return p9_found(spark, d).groupBy("subject").agg(F.count("*").alias("n_documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p1_rebuilt, p3_found, p3_rate, p7_ids)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p1_rebuilt, p3_found, p3_rate, p7_ids, p8_found, p8_items, p9_found, p9_composition)}
 
 
 _LINES = r"""
