@@ -1,14 +1,15 @@
 """Problem 8: evaluation texts leaking into training text, by a distributed positional inverted index.
 
-1. Postings: of every document, the words that occur in some test item, with their positions (written once).
-2. Document frequencies of these words over the whole corpus give each test item its rarest words.
-3. Offset-adjusted lists: a posting of a rare word at document position p and item position o lies on diagonal p - o.
-   Phrase: of every window of RUN item words the ANCHORS rarest must meet on one diagonal, or there is no run of RUN words.
-   Proximity: an item of n words of which n/3 may be missing keeps at least ceil(n/2) - n/3 of its rarest half, on
-   diagonals that lie near each other.
-   Both are necessary conditions, so no match is lost; they leave few pairs of document and item.
-4. The full postings of these pairs are intersected exactly: the longest run on a diagonal, and the longest common
-   subsequence with the item within one passage.
+1. Postings: of every document, the words that occur in some test item, with their positions, written once.
+2. Document frequencies of these words over the whole corpus tell which words of each item are rare.
+3. The index is partitioned by document: each task turns its documents' postings into lists by word and looks up the items'
+   rare words first. A posting at document position p of a word at item position o lies on diagonal p - o.
+   Phrase: any run of RUN item words holds the rarest word of one of the item's windows; from each of its postings the
+   neighbouring positions on the same diagonal are compared, which gives the exact run.
+   Proximity: an item of n words that keeps two thirds of them keeps at least SPARE of its n/3 + SPARE rarest ones, on
+   diagonals that lie near each other; only such passages are compared, by their longest common subsequence with the item.
+Both look-ups are necessary conditions, so no match is lost. As a document's postings lie in one task, nothing but the
+frequencies is shuffled.
 
 The test items are a stated query set; they are taken in blocks of ITEM_BLOCK, so what is sent to the workers is bounded.
 Words are the longest runs of letters and digits in lower case. Null or empty texts on either side match nothing; repeated
@@ -27,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.common import small_side, staged
+from tessella.common import staged
 
 RUN = 12
-ANCHORS = 3
+SPARE = 4
 ITEM_BLOCK = 5000
 #: Diagonals of one passage lie within this; single words left out or put in move a diagonal by one each.
 DRIFT = 32
+#: Documents whose lists are looked up at once.
+CHUNK = 1000
 
 _WORDS = re.compile(r"[^\W_]+").findall
 
@@ -69,38 +72,56 @@ def postings(docs: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null").mapInArrow(run, "doc_id long, terms array<int>, places array<int>")
 
 
-def anchors(items: dict[int, np.ndarray], df: np.ndarray) -> pd.DataFrame:
-    """term, item, o, phrase, near, need: the item positions that are looked up, and what each kind needs."""
-    out = []
-    for item, seq in items.items():
-        n = len(seq)
-        rarity = np.lexsort((np.arange(n), df[seq]))  # rarest first, ties by position
-        order = np.empty(n, np.int64)
-        order[rarity] = np.arange(n)
-        phrase = set()
-        for s in range(n - RUN + 1):
-            phrase.update((s + np.argsort(order[s : s + RUN])[:ANCHORS]).tolist())
-        half = -(-n // 2)
-        near = set(rarity[:half].tolist())
-        need = max(1, half - n // 3)
-        out += [(int(seq[o]), item, o, o in phrase, o in near, need) for o in phrase | near]
-    return pd.DataFrame(out, columns=["term", "item", "o", "phrase", "near", "need"])
-
-
-def longest_run(terms: np.ndarray, places: np.ndarray, where: dict[int, list[int]]) -> int:
-    """The most words in a row of the document that stand so in the item. where: positions of each term in the item."""
-    best, before, last = 0, {}, -2
-    for t, p in zip(terms.tolist(), places.tolist()):
-        here = where.get(t)
-        if here is None:
-            continue
-        prev = before if p == last + 1 else {}
-        before = {o: prev.get(o - 1, 0) + 1 for o in here}
-        last = p
-        m = max(before.values())
-        if m > best:
-            best = m
-    return best
+class Lookup:
+    """What is looked up for a block of items: by word, the item positions that drive the phrase and the proximity search."""
+
+    def __init__(self, items: dict[int, np.ndarray], df: np.ndarray):
+        self.items = items
+        self.names = np.array(sorted(items), np.int64)
+        self.sizes = np.array([len(items[i]) for i in self.names.tolist()], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.flat = np.concatenate([items[i] for i in self.names.tolist()] or [np.zeros(0, np.int32)])
+        self.need = np.zeros(len(self.names), np.int64)
+        rows = []
+        for k, i in enumerate(self.names.tolist()):
+            seq = items[i]
+            n = len(seq)
+            rarity = np.lexsort((np.arange(n), df[seq]))  # rarest first, ties by position
+            order = np.empty(n, np.int64)
+            order[rarity] = np.arange(n)
+            phrase = {s + int(np.argmin(order[s : s + RUN])) for s in range(n - RUN + 1)}
+            m = min(n, n // 3 + SPARE)
+            self.need[k] = max(1, m - n // 3)
+            near = set(rarity[:m].tolist())
+            rows += [(int(seq[o]), k, o, o in phrase, o in near) for o in phrase | near]
+        rows.sort()
+        self.term, self.item, self.o, self.phrase, self.near = (np.array(c) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 5
+        self.phrase, self.near = self.phrase.astype(bool), self.near.astype(bool)
+
+    def hits(self, doc: np.ndarray, term: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(posting, look-up) pairs with equal words."""
+        lo, hi = np.searchsorted(self.term, term, "left"), np.searchsorted(self.term, term, "right")
+        n = hi - lo
+        which = np.repeat(np.arange(len(term)), n)
+        within = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        look = lo[which] + within
+        return doc[which], place[which], look
+
+
+def _runs(dense: np.ndarray, at: np.ndarray, flat: np.ndarray, pos: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The length of the run of equal words through dense[at] and flat[pos], looked at up to RUN each way; item positions
+    stay within first..end. dense has RUN places without a word around each document."""
+    total = np.ones(len(at), np.int64)
+    for way in (-1, 1):
+        going = np.ones(len(at), bool)
+        for j in range(1, RUN):
+            q = pos + way * j
+            going &= (q >= first) & (q < end)
+            going &= dense[np.where(going, at + way * j, 0)] == flat[np.where(going, q, 0)]
+            if not going.any():
+                break
+            total += going
+    return total
 
 
 def in_order(terms: np.ndarray, places: np.ndarray, where: dict[int, list[int]], n: int, need: int) -> bool:
@@ -126,6 +147,48 @@ def in_order(terms: np.ndarray, places: np.ndarray, where: dict[int, list[int]],
     return False
 
 
+def _match(look: Lookup, terms: list[np.ndarray], places: list[np.ndarray]) -> list[tuple[int, int]]:
+    """(document, item) places of the matches among some documents' postings."""
+    sizes = np.array([len(t) for t in terms])
+    doc = np.repeat(np.arange(len(terms)), sizes)
+    term, place = np.concatenate(terms), np.concatenate(places).astype(np.int64)
+    d, p, k = look.hits(doc, term, place)
+    lengths = np.array([int(x[-1]) + 1 for x in places])
+    base = np.cumsum(lengths + RUN) - lengths  # RUN empty places before each document
+    dense = np.full(int(base[-1] + lengths[-1] + RUN), -1, np.int64)
+    dense[base[doc] + place] = term
+    item, o = look.item[k], look.o[k]
+    ph = look.phrase[k]
+    di, pi, ki, oi = d[ph], p[ph], item[ph], o[ph]
+    run = _runs(dense, base[di] + pi, look.flat, look.starts[ki] + oi, look.starts[ki], look.starts[ki + 1])
+    found = set(zip(di[run >= RUN].tolist(), ki[run >= RUN].tolist()))
+    nr = look.near[k]
+    dn, kn, on = d[nr], item[nr], o[nr]
+    band = (p[nr] - on) // DRIFT
+    band = np.concatenate([band, band + 1])
+    dn, kn, on = np.tile(dn, 2), np.tile(kn, 2), np.tile(on, 2)
+    if not len(dn):
+        return sorted(found)
+    shift = band - band.min()
+    group = (dn * len(look.names) + kn) * (shift.max() + 1) + shift
+    width = int(look.sizes.max()) + 1
+    g, n = np.unique(np.unique(group * width + on) // width, return_counts=True)
+    pair = g // (shift.max() + 1)
+    ok = n >= look.need[pair % len(look.names)]
+    for x in np.unique(pair[ok]).tolist():
+        i, j = divmod(x, len(look.names))
+        if (i, j) in found:
+            continue
+        seq = look.items[int(look.names[j])]
+        mine = np.isin(terms[i], seq)
+        where: dict[int, list[int]] = {}
+        for at, t in enumerate(seq.tolist()):
+            where.setdefault(t, []).append(at)
+        if in_order(terms[i][mine], places[i][mine], where, len(seq), -(-2 * len(seq) // 3)):
+            found.add((i, j))
+    return sorted(found)
+
+
 def _block(docs: DataFrame, items: dict[int, list[str]]) -> DataFrame:
     spark = docs.sparkSession
     vocabulary = {w: i for i, w in enumerate(sorted({w for ws in items.values() for w in ws}))}
@@ -135,37 +198,18 @@ def _block(docs: DataFrame, items: dict[int, list[str]]) -> DataFrame:
     df = np.zeros(len(vocabulary), np.int64)
     for r in counts:
         df[r["term"]] = r["df"]
-    look = F.broadcast(spark.createDataFrame(anchors(coded, df), "term int, item long, o int, phrase boolean, near boolean, need int"))
-    rare = F.broadcast(look.select("term").distinct())
-    hits = posted.select("doc_id", F.explode(F.arrays_zip("terms", "places")).alias("x")).select("doc_id", F.col("x.terms").alias("term"), F.col("x.places").alias("p")).join(rare, "term", "left_semi").join(look, "term")
-    hits = hits.withColumn("diag", F.col("p") - F.col("o"))
-    exact = hits.where("phrase").groupBy("doc_id", "item", "diag").agg(F.count("*").alias("n")).where(F.col("n") >= ANCHORS).select("doc_id", "item")
-    bands = hits.where("near").withColumn("band", F.explode(F.array(F.floor(F.col("diag") / DRIFT), F.floor(F.col("diag") / DRIFT) + 1)))
-    loose = bands.groupBy("doc_id", "item", "band").agg(F.count_distinct("o").alias("n"), F.first("need").alias("need")).where("n >= need").select("doc_id", "item")
-    pairs = exact.unionByName(loose).distinct().groupBy("doc_id").agg(F.collect_list("item").alias("items"))
-    pairs = small_side(staged(pairs, "pairs"))
-    sent = spark.sparkContext.broadcast(coded)
-
-    def verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        places_of: dict[int, dict[int, list[int]]] = {}
+    sent = spark.sparkContext.broadcast(Lookup(coded, df))
+
+    def match(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        look = sent.value
         for pdf in parts:
-            out = []
-            for doc, terms, places, wanted in zip(pdf["doc_id"], pdf["terms"], pdf["places"], pdf["items"]):
-                for item in wanted:
-                    seq = sent.value[item]
-                    where = places_of.get(item)
-                    if where is None:
-                        where = places_of[item] = {}
-                        for o, t in enumerate(seq.tolist()):
-                            where.setdefault(t, []).append(o)
-                    n = len(seq)
-                    mine = np.isin(terms, seq)
-                    a, b = terms[mine], places[mine]
-                    if longest_run(a, b, where) >= RUN or in_order(a, b, where, n, -(-2 * n // 3)):
-                        out.append((doc, item))
-            yield pd.DataFrame(out, columns=["doc_id", "item_id"], dtype="int64")
-
-    return posted.join(pairs, "doc_id").mapInPandas(verify, "doc_id long, item_id long")
+            for at in range(0, len(pdf), CHUNK):
+                some = pdf.iloc[at : at + CHUNK]
+                ids = some["doc_id"].to_numpy()
+                got = _match(look, list(some["terms"]), list(some["places"])) if len(look.term) else []
+                yield pd.DataFrame({"doc_id": [ids[i] for i, _ in got], "item_id": [look.names[j] for _, j in got]}, dtype="int64")
+
+    return posted.mapInPandas(match, "doc_id long, item_id long")
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

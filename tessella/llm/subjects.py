@@ -32,18 +32,20 @@ MIN_SHARE = 2e-4
 MIN_DOCS = 3
 BACKGROUND = 1
 PASSES = 2
-INNER = 6
+INNER = 4
 #: Share of a term's labelled documents from which a subject claims it.
 PURE = 0.3
 #: A paragraph deals with a subject that has this share of its subject weight, if it has at least MIN_TOPICAL such words.
 LEAD = 0.5
 MIN_TOPICAL = 2.0
 
-_TERM = re.compile(r"[぀-ヿ㐀-鿿가-힣]+|[^\W\d_぀-ヿ㐀-鿿가-힣]{3,}")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
-_END = re.compile(r"[.!?。！？”\"»](?:\s|$)|[。！？]")
-_CUT = re.compile(r"(?:\.\.\.|…|\[…\])[\s»›]*$")
-_CODE = re.compile(r"[{}<>]|==|\(\)|::|->|\w=\w|^\s*(?:def|class|import|return|#|//)\b|\breturn \b")
+_PLAIN = re.compile(r"[^\W\d_]{3,}").findall
+_MIXED = re.compile(r"[぀-ヿ㐀-鿿가-힣]+|[^\W\d_぀-ヿ㐀-鿿가-힣]{3,}").findall
+_END = re.compile(r"[.!?”\"»](?:\s|$)|[。！？]").search
+_BREAKS = re.compile(r"[\n\r\u2028\x85]+").split
+_CODE_SIGNS = ("{", "}", "<", ">", "()", "=", "::", "->", "return ")
+_CODE_STARTS = ("def ", "class ", "import ", "return ", "#", "//")
 _SENTENCES = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*")
 #: A text whose line breaks are lost is taken apart into sentences from so many on.
 LOST = 6
@@ -56,11 +58,15 @@ def sentences(line: str) -> list[str]:
 def paragraphs(text: str | None) -> list[str]:
     """The lines of running text; the sentences where the text stands on one or two lines as its breaks are lost."""
     out = []
-    for line in re.split(r"[\n\r\u2028\x85]+", text or ""):
+    for line in _BREAKS(text or ""):
         line = line.strip()
-        if len(line) < (14 if _WIDE.search(line) else 40) or not _END.search(line) or _CUT.search(line):
+        size = len(line)
+        if size < 40 and (size < 14 or not _WIDE.search(line)):
             continue
-        if len(_CODE.findall(line)) > 1 + len(line) // 120:
+        if line[-1] not in ".。!?" and not _END(line):
+            continue
+        tail = line[-6:].rstrip(" »›]")
+        if tail.endswith(("...", "…")) or sum(map(line.count, _CODE_SIGNS)) + line.startswith(_CODE_STARTS) > 1 + size // 120:
             continue
         out.append(line)
     if len(out) <= 2 and sum(len(sentences(x)) for x in out) >= LOST:
@@ -69,12 +75,15 @@ def paragraphs(text: str | None) -> list[str]:
 
 
 def terms(text: str) -> list[str]:
-    out = []
-    for w in _TERM.findall(text.lower()):
-        if _WIDE.match(w):
-            out.extend(map("".join, zip(w, w[1:])) if len(w) > 1 else [w])
-        else:
+    text = text.lower()
+    if not _WIDE.search(text):
+        return _PLAIN(text)
+    out: list[str] = []
+    for w in _MIXED(text):
+        if w < "\u3040":
             out.append(w)
+        else:
+            out.extend(map("".join, zip(w, w[1:])) if len(w) > 1 else [w])
     return out
 
 
