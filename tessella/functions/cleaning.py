@@ -17,6 +17,12 @@ from tessella.functions.text import WS, squeezed, tokens
 SCRIPTS = {"cjk": [(0x4E00, 0x9FFF)], "japanese": [(0x3040, 0x309F), (0x30A0, 0x30FF)], "korean": [(0xAC00, 0xD7AF)], "arabic": [(0x0600, 0x06FF)], "cyrillic": [(0x0400, 0x04FF)]}
 
 
+def compiled(pattern: str) -> re.Pattern:
+    """Compiles a pattern of Java's dialect as nearly as Python can, to find mistakes on the driver."""
+    p = re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", pattern)
+    return re.compile(re.sub(r"\\[pP]\{\w+\}", r"\\w", p))
+
+
 @dataclass(frozen=True)
 class CharacterFilter:
     remove_chars: str = ""
@@ -62,7 +68,7 @@ class CleaningConfig:
             if low is not None and high is not None and low > high:
                 raise ValueError("a minimum is above its maximum")
         for p in (self.words.remove_patterns if self.words else ()):
-            re.compile(p)
+            compiled(p)
         for a, b in (self.characters.remove_ranges if self.characters else ()):
             if a > b:
                 raise ValueError("a code point range is reversed")
@@ -97,7 +103,7 @@ def parse_rule(text: str) -> tuple[str, str]:
         pattern, new = parts[1], parts[2]
     else:
         raise ValueError(f"not a rule: {text}")
-    re.compile(pattern)
+    compiled(pattern)
     return pattern, new
 
 
@@ -198,14 +204,14 @@ class Rule:
         if self.kind not in ("remove", "replace", "keep_only", "transform"):
             raise ValueError(f"unknown kind {self.kind}")
         if self.kind != "transform":
-            re.compile(re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", self.pattern))
+            compiled(self.pattern)
         if self.kind == "replace" and self.replacement is None:
             raise ValueError("a replacement is missing")
 
 
 def java_template(pattern: str, template: str) -> str:
     """$n and ${n} of a replacement for Java: groups that do not exist are empty, as is $1x, which names no group."""
-    groups = re.compile(re.sub(r"\\x\{([0-9a-fA-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", pattern)).groups
+    groups = compiled(pattern).groups
 
     def one(m: re.Match) -> str:
         name = m[1] or m[2]

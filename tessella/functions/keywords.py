@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.functions.cleaning import compiled
+
 MODES = ("any", "ci", "all", "exact", "regex")
 
 
@@ -35,7 +37,7 @@ class KeywordConfig:
             raise ValueError("keywords must be given and not blank")
         if self.mode == "regex":
             for k in self.keywords:
-                re.compile(k)
+                compiled(k)
         if self.max_proximity is not None and self.max_proximity <= 0:
             raise ValueError("proximity must be positive")
         if self.include_context and self.context_window <= 0:

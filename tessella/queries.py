@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.common import table
 from tessella.operators.hierarchy import hierarchy
+from tessella.plans import catalog_crawl, catalog_text
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,7 +29,7 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p5_found, p5_paths)}
+    return {f.__name__: f for f in (p5_found, p5_paths)} | catalog_text.QUERIES | catalog_crawl.QUERIES
 
 
 _PARENTS = """
@@ -42,7 +43,7 @@ below AS (SELECT w.cur AS url, count(*) AS n FROM walk w JOIN fin l ON l.url = w
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return catalog_text.SQL | catalog_crawl.SQL | {
         "p5_found": f"""WITH RECURSIVE {_PARENTS}
             SELECT l.url, CASE WHEN l.ring THEN '' ELSE l.root END AS root_url, CASE WHEN l.ring THEN -1 ELSE l.d END AS tree_depth,
               CAST(CASE WHEN NOT l.ring THEN 0 WHEN l.root = l.url THEN 1 ELSE 2 END AS BIGINT) AS ring_state,
