@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.common import table
-from tessella.llm import bpe, leakage, seen, sitelines, subjects
+from tessella.llm import body, bpe, leakage, seen, sitelines, subjects
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +36,27 @@ def p1_rebuilt(spark: SparkSession, d: str) -> DataFrame:
     return sitelines.rebuilt(rows, old, new)
 
 
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    return _stored(spark, d).select("result_id", "url", "title", "content")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return body.spam_pages(_pages(spark, d))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return body.main_body(_pages(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return body.residue_pages(_pages(spark, d))
+
+
+def p6_templates(spark: SparkSession, d: str) -> DataFrame:
+    """The message templates of the corpus with their verdicts."""
+    return body.residue_templates(_pages(spark, d))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return seen.seen_before(_stored(spark, d), "url", "result_id", "result_id")
 
@@ -67,7 +88,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p1_rebuilt, p3_found, p3_rate, p7_ids, p8_found, p8_items, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p1_rebuilt, p2_found, p3_found, p3_rate, p4_found, p6_found, p6_templates, p7_ids, p8_found, p8_items, p9_found, p9_composition)}
 
 
 _LINES = r"""
