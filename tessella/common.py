@@ -16,6 +16,11 @@ BROADCAST_ROWS = 1_000_000
 _OWN_DIRS: list[str] = []
 
 
+def named(**fields: Column) -> Column:
+    """A struct with the given names; inside lambdas, aliases of fields are lost."""
+    return F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

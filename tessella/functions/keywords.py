@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.common import named
 from tessella.functions.cleaning import compiled
 
 MODES = ("any", "ci", "all", "exact", "regex")
@@ -54,7 +55,7 @@ class KeywordConfig:
 
 def _struct(i: Column | int, k: str | Column, pos: Column, length: Column) -> Column:
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
-    return F.struct(lit(i).cast("int").alias("kw"), lit(k).alias("keyword"), pos.cast("int").alias("pos"), length.cast("int").alias("len"))
+    return named(kw=lit(i).cast("int"), keyword=lit(k), pos=pos.cast("int"), len=length.cast("int"))
 
 
 def _none() -> Column:
@@ -66,8 +67,8 @@ def substring_matches(t: Column, i: int, k: str) -> Column:
     n = len(k)
     parts = F.split(t, re.escape(k), -1)
     sizes = F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    walked = F.aggregate(sizes, start, lambda a, s: F.struct((a["at"] + s + n).alias("at"), F.concat(a["out"], F.array(a["at"] + s)).alias("out")))["out"]
+    start = named(at=F.lit(0), out=F.array().cast("array<int>"))
+    walked = F.aggregate(sizes, start, lambda a, s: named(at=a["at"] + s + n, out=F.concat(a["out"], F.array(a["at"] + s))))["out"]
     return F.when(F.coalesce(F.contains(t, F.lit(k)), F.lit(False)), F.transform(walked, lambda p: _struct(i, k, p, F.lit(n)))).otherwise(_none())
 
 
@@ -78,8 +79,8 @@ def exact_matches(t: Column, i: int, k: str) -> Column:
     marked = F.regexp_replace(t, hit, "\u0000")
     parts = F.split(marked, "\u0000", -1)
     sizes = F.transform(F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0))), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
-    walked = F.aggregate(sizes, start, lambda a, s: F.struct((a["at"] + s).alias("at"), F.concat(a["out"], F.array(a["at"] + s)).alias("out")))["out"]
+    start = named(at=F.lit(0), out=F.array().cast("array<int>"))
+    walked = F.aggregate(sizes, start, lambda a, s: named(at=a["at"] + s, out=F.concat(a["out"], F.array(a["at"] + s))))["out"]
     return F.when(F.coalesce(F.contains(t, F.lit(k)), F.lit(False)), F.transform(walked, lambda p: _struct(i, k, p, F.lit(len(k))))).otherwise(_none())
 
 
@@ -87,9 +88,9 @@ def regex_matches(t: Column, i: int, p: str) -> Column:
     """Non-overlapping hits; their places are found by splitting the text at the same pattern."""
     found = F.regexp_extract_all(t, F.lit(f"({p})"), F.lit(1))
     gaps = F.split(F.regexp_replace(t, p, "\u0000"), "\u0000", -1)
-    pairs = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(found)).alias("g"), found.alias("f"))
-    start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
-    walked = F.aggregate(pairs, start, lambda a, x: F.struct((a["at"] + F.length(x["g"]) + F.length(x["f"])).alias("at"), F.concat(a["out"], F.array(_struct(i, p, a["at"] + F.length(x["g"]), F.length(x["f"])))).alias("out")))
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, f: named(g=g, f=f))
+    start = named(at=F.lit(0), out=_none())
+    walked = F.aggregate(pairs, start, lambda a, x: named(at=a["at"] + F.length(x["g"]) + F.length(x["f"]), out=F.concat(a["out"], F.array(_struct(i, p, a["at"] + F.length(x["g"]), F.length(x["f"]))))))
     return F.when(t.isNull() | (F.size(found) == 0), _none()).otherwise(walked["out"])
 
 
@@ -126,7 +127,7 @@ def proximity_ok(m: Column, most: int) -> Column:
 def statistics(t: Column, m: Column, cfg: KeywordConfig) -> dict[str, Column]:
     """Bytes, share of keywords found, most frequent keyword (the first at ties), mean gap (null under two matches)."""
     kws = F.array_distinct(F.transform(m, lambda x: x["kw"]))
-    counts = F.transform(kws, lambda k: F.struct(F.size(F.filter(m, lambda x: x["kw"] == k)).alias("n"), (-k).alias("i")))
+    counts = F.transform(kws, lambda k: named(n=F.size(F.filter(m, lambda x: x["kw"] == k)), i=-k))
     top = F.array_max(counts)
     names = F.array(*[F.lit(k) for k in cfg.normalized])
     gaps = _neighbours(m)

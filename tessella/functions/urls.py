@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.common import named
+
 SPLIT = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
 #: Lists that decide what is crawled, and how links are told apart (fixed values).
 SOCIAL = ["facebook.com", "twitter.com", "instagram.com", "linkedin.com", "youtube.com", "tiktok.com", "pinterest.com"]
@@ -151,7 +153,7 @@ def _no_dots(path: Column) -> Column:
     """Without '.' and '..' segments."""
     segs = F.split(F.regexp_replace(path, "^/", ""), "/", -1)
     n = F.size(segs)
-    numbered = F.transform(segs, lambda s, i: F.struct(s.alias("s"), (i == n - 1).alias("last")))
+    numbered = F.transform(segs, lambda s, i: named(s=s, last=i == n - 1))
 
     def fold(acc: Column, x: Column) -> Column:
         s, tail = x["s"], F.when(x["last"], F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))

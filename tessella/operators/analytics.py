@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.common import named
 from tessella.functions.urls import domain
 
 SUCCESS = ["completed", "cached"]
@@ -39,7 +40,7 @@ def languages(results: DataFrame) -> DataFrame:
 
 def analytics(results: DataFrame) -> DataFrame:
     """All of the above in one row: top_domains an array of struct(host, n), language_distribution a map."""
-    tops = top_hosts(results).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "host", "n"))).alias("t")).select(F.transform("t", lambda x: F.struct(x["host"].alias("host"), x["n"].alias("n"))).alias("top_domains"))
+    tops = top_hosts(results).agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "host", "n"))).alias("t")).select(F.transform("t", lambda x: named(host=x["host"], n=x["n"])).alias("top_domains"))
     langs = languages(results).agg(F.map_from_entries(F.collect_list(F.struct("language", "n"))).alias("language_distribution"))
     return summary(results).crossJoin(tops).crossJoin(langs)  # one row each
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.common import named
 from tessella.operators.links import ExtensiveConfig
 
 PRIORITIES = {"Low": 1, "Normal": 2, "Medium": 3, "High": 4, "Critical": 5}
@@ -43,8 +44,8 @@ def discovery_stats(links: DataFrame, pages: int) -> DataFrame:
 
 def truncating_mean(values: Column) -> Column:
     """The running mean whose former value is cut to an integer at every step; values: an ordered array."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("mean"))
-    return F.aggregate(values, start, lambda a, x: F.struct((a["n"] + 1).alias("n"), ((F.floor(a["mean"]) * a["n"] + x).cast("double") / (a["n"] + 1)).alias("mean")))["mean"]
+    start = named(n=F.lit(0).cast("long"), mean=F.lit(0.0))
+    return F.aggregate(values, start, lambda a, x: named(n=a["n"] + 1, mean=(F.floor(a["mean"]) * a["n"] + x).cast("double") / (a["n"] + 1)))["mean"]
 
 
 def queue_order(tasks: DataFrame) -> DataFrame:

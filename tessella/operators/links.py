@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.common import named
 from tessella.functions import urls as U
 
 #: Extensions that tell categories apart, and those not crawled by default (fixed values).
@@ -90,8 +91,8 @@ def extract(pages: DataFrame, page: str, base: str, html: str, depth: Column | N
     d = F.lit(0) if depth is None else depth
     rows = pages.where(F.col(html).isNotNull() & (d < max_depth)).select(page, base, html, (d + 1).cast("int").alias("depth"))
     h, all_of = F.col(html), lambda p, i: F.regexp_extract_all(F.col(html), F.lit(p), F.lit(i))
-    one = lambda arr, text: F.transform(arr, lambda x: F.struct(x.alias("href"), F.lit(text).alias("anchor")))
-    anchors = F.zip_with(all_of(_ANCHOR, 1), all_of(_ANCHOR, 2), lambda a, b: F.struct(a.alias("href"), b.alias("anchor")))
+    one = lambda arr, text: F.transform(arr, lambda x: named(href=x, anchor=F.lit(text)))
+    anchors = F.zip_with(all_of(_ANCHOR, 1), all_of(_ANCHOR, 2), lambda a, b: named(href=a, anchor=b))
     every = F.concat(anchors, one(all_of(_IMAGE, 1), "image"), one(all_of(_SHEET, 1), "stylesheet"))
     flat = rows.select(page, base, "depth", F.posexplode(every).alias("seq", "x"))
     return flat.select(page, base, F.col("seq").cast("long").alias("seq"), U.resolve(F.col(base), F.col("x.href")).alias("url"), F.col("x.anchor").alias("anchor"), "depth").where("url is not null")
