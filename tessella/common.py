@@ -16,6 +16,11 @@ BROADCAST_ROWS = 1_000_000
 _OWN_DIRS: list[str] = []
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def named(**fields: Column) -> Column:
     """A struct with the given names; inside lambdas, aliases of fields are lost."""
     return F.named_struct(*[x for k, v in fields.items() for x in (F.lit(k), v)])

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.common import named
+from tessella.common import let, named
 
 SPLIT = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#[\s\S]*)?$"
 #: Lists that decide what is crawled, and how links are told apart (fixed values).
@@ -179,11 +179,15 @@ def resolve(base: Column, href: Column) -> Column:
         .when(href == "", F.concat(origin, b.path, query))
         .when(href.startswith("#"), F.concat(origin, b.path, query, href))
         .when(href.startswith("?"), F.concat(origin, b.path, href))
-        .when(href.startswith("/"), F.concat(origin, _no_dots(path), rest))
-        .otherwise(F.concat(origin, _no_dots(F.concat(folder, path)), rest))
+        .when(href.startswith("/"), F.concat(origin, path, rest))
+        .otherwise(F.concat(origin, folder, path, rest))
     )
-    p = parsed(made)
-    return F.when(b.ok & p.ok, p.text(_no_dots(p.path)))
+
+    def whole(m: Column) -> Column:
+        p = parsed(m)
+        return F.when(p.ok, p.text(let(p.path, _no_dots)))
+
+    return F.when(b.ok, let(made, whole))
 
 
 def status_text(code: Column) -> Column:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.common import named
+from tessella.common import named, staged
 from tessella.functions import urls as U
 
 #: Extensions that tell categories apart, and those not crawled by default (fixed values).
@@ -95,7 +95,7 @@ def extract(pages: DataFrame, page: str, base: str, html: str, depth: Column | N
     anchors = F.zip_with(all_of(_ANCHOR, 1), all_of(_ANCHOR, 2), lambda a, b: named(href=a, anchor=b))
     every = F.concat(anchors, one(all_of(_IMAGE, 1), "image"), one(all_of(_SHEET, 1), "stylesheet"))
     flat = rows.select(page, base, "depth", F.posexplode(every).alias("seq", "x"))
-    return flat.select(page, base, F.col("seq").cast("long").alias("seq"), U.resolve(F.col(base), F.col("x.href")).alias("url"), F.col("x.anchor").alias("anchor"), "depth").where("url is not null")
+    return staged(flat.select(page, base, F.col("seq").cast("long").alias("seq"), U.resolve(F.col(base), F.col("x.href")).alias("url"), F.col("x.anchor").alias("anchor"), "depth"), "links").where("url is not null")
 
 
 def link_type(url: Column, base: Column, allowed: list[str] = ()) -> Column:
@@ -142,12 +142,12 @@ def category(url: Column) -> Column:
 
 
 def _clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0), F.least(F.lit(255), c))
+    return F.greatest(F.lit(0), F.least(F.lit(255), c))  # each argument stands once
 
 
-def priority(url: Column, anchor: Column, cfg: ExtensiveConfig = ExtensiveConfig()) -> Column:
+def priority(url: Column, anchor: Column, cfg: ExtensiveConfig = ExtensiveConfig(), kind: Column | None = None) -> Column:
     """0..255, held within bounds after every step."""
-    s, p, cat = cfg.scoring, U.parsed(url), category(url)
+    s, p, cat = cfg.scoring, U.parsed(url), category(url) if kind is None else kind
     v = _clamp(F.lit(s.base) + F.when(cat == "Internal", s.internal).when(cat == "External", s.external).when(cat == "Document", s.document).when(cat == "Resource", -s.resource).when(cat == "Media", -s.media).otherwise(s.other))
     v = _clamp(v + F.when(F.coalesce(anchor.rlike(r"[^\s\x{0B}\x{85}\p{Z}]"), F.lit(False)), s.anchor).otherwise(0))
     n = p.segments
@@ -176,13 +176,13 @@ def domain_allowed(url: Column, base: Column, cfg: ExtensiveConfig) -> Column:
     return F.lit(True)
 
 
-def decision(url: Column, base: Column, depth: Column, cfg: ExtensiveConfig) -> Column:
+def decision(url: Column, base: Column, depth: Column, cfg: ExtensiveConfig, kind: Column | None = None) -> Column:
     """Why a link is or is not crawled: the first test it fails, or that it passed."""
     ext = F.lower(F.element_at(F.split(U.parsed(url).last, r"\.", -1), -1))
     size = F.octet_length(url)
     out = F.when(~depth_allowed(depth, cfg), F.concat(F.lit("Depth limit exceeded: "), depth.cast("string")))
     out = out.when(~domain_allowed(url, base, cfg), "Domain not allowed")
-    out = out.when(category(url).isin("Resource", "Media"), "Resource/media link excluded")
+    out = out.when((category(url) if kind is None else kind).isin("Resource", "Media"), "Resource/media link excluded")
     if cfg.min_url_length is not None:
         out = out.when(size < cfg.min_url_length, F.concat(F.lit("URL too short: "), size.cast("string"), F.lit(f" < {cfg.min_url_length}")))
     if cfg.max_url_length is not None:
@@ -207,8 +207,9 @@ def process(links: DataFrame, page: str, base: str, cfg: ExtensiveConfig) -> Dat
     if not cfg.enabled:
         return links.limit(0)
     url = F.col("url")
-    out = links.withColumn("norm", U.normalize_scope(url, cfg.exclude_fragments, cfg.exclude_query_params)).withColumn("category", category(url)).withColumn("priority", priority(url, F.col("anchor"), cfg))
-    out = out.withColumn("depth", F.col("depth") + 1).withColumn("reason", decision(url, F.col(base), F.col("depth"), cfg)).withColumn("should_crawl", F.col("reason") == PASSED)
+    links = staged(links.withColumn("category", category(url)), "links")
+    out = links.withColumn("norm", U.normalize_scope(url, cfg.exclude_fragments, cfg.exclude_query_params)).withColumn("priority", priority(url, F.col("anchor"), cfg, F.col("category")))
+    out = out.withColumn("depth", F.col("depth") + 1).withColumn("reason", decision(url, F.col(base), F.col("depth"), cfg, F.col("category"))).withColumn("should_crawl", F.col("reason") == PASSED)
     if cfg.max_links_per_page is not None:
         before = F.sum(F.col("should_crawl").cast("int")).over(Window.partitionBy(page).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1))
         out = out.withColumn("_before", F.coalesce(before, F.lit(0))).where(F.col("_before") < cfg.max_links_per_page).drop("_before")

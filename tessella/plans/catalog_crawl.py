@@ -282,7 +282,7 @@ def robots_eval(spark, d):
     return P.robots_verdict(paths, P.robots_rules(table(spark, d, "robots")), "host", "path").select("host", "path", "allowed", "delay_ms")
 
 
-_EV = f"{url_cte('e', 'crawl_events', 'event_id, epoch_ms(ts) AS ms')}"
+_EV = f"{url_cte('e', 'crawl_events', 'event_id, epoch_us(ts) // 1000 AS ms')}"
 _LIMITS = "lim AS (SELECT domain, min({'a': max_requests, 'b': window_ms}) AS l FROM domain_limits WHERE domain IS NOT NULL GROUP BY domain)"
 
 
@@ -302,7 +302,7 @@ def rate_limit_lookup(spark, d):
     return P.with_limits(c, table(spark, d, "domain_limits"), "host").withColumn("wait_ms", P.wait_ms(F.col("tracked"), F.col("max_requests"), F.col("window_ms")))
 
 
-@query(f"WITH {_EV} SELECT host, count(*) AS tracked, max(ms) AS last_ms FROM e WHERE host IS NOT NULL GROUP BY host HAVING (SELECT max(epoch_ms(ts)) FROM crawl_events) - max(ms) < 3600000")
+@query(f"WITH {_EV} SELECT host, count(*) AS tracked, max(ms) AS last_ms FROM e WHERE host IS NOT NULL GROUP BY host HAVING (SELECT max(epoch_us(ts) // 1000) FROM crawl_events) - max(ms) < 3600000")
 def rate_trackers(spark, d):
     r = _requests(spark, d)
     now = r.agg(F.coalesce(F.max("ms"), F.lit(0))).first()[0]

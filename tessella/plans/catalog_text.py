@@ -17,7 +17,7 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 WS = X.WS
-W = X.WORD.replace(r"\p{Is", r"\p{")
+W = X.WORD.replace(r"\p{Is", r"\p{").replace("'", "''")
 
 
 def query(sql: str | None = None):
@@ -43,7 +43,7 @@ def url_cte(name: str, source: str, keys: str, url: str = "url") -> str:
     """A CTE with the parts of url."""
     return f"""{name}_raw AS (SELECT {keys}, {url} AS url, regexp_matches({url}, '{_P}') AS ok, lower(regexp_extract({url}, '{_P}', 1)) AS scheme,
       regexp_replace(regexp_extract({url}, '{_P}', 2), '^[^@]*@', '') AS auth, regexp_extract({url}, '{_P}', 3) AS p, regexp_extract({url}, '{_P}', 4) AS q, regexp_extract({url}, '{_P}', 5) AS f FROM {source}),
-    {name} AS (SELECT {keys}, url, coalesce(ok, false) AS ok, CASE WHEN ok THEN scheme END AS scheme, CASE WHEN ok THEN lower(regexp_replace(auth, ':\\d*$', '')) END AS host,
+    {name} AS (SELECT {', '.join(k.split(' AS ')[-1].strip() for k in keys.split(', '))}, url, coalesce(ok, false) AS ok, CASE WHEN ok THEN scheme END AS scheme, CASE WHEN ok THEN lower(regexp_replace(auth, ':\\d*$', '')) END AS host,
       CASE WHEN NOT ok THEN NULL WHEN (scheme = 'http' AND regexp_extract(auth, ':(\\d*)$', 1) = '80') OR (scheme = 'https' AND regexp_extract(auth, ':(\\d*)$', 1) = '443') THEN '' ELSE regexp_extract(auth, ':(\\d*)$', 1) END AS port,
       CASE WHEN ok THEN CASE WHEN p = '' THEN '/' ELSE p END END AS path, CASE WHEN ok AND q <> '' THEN substr(q, 2) END AS query, CASE WHEN ok AND f <> '' THEN substr(f, 2) END AS fragment FROM {name}_raw)"""
 
@@ -128,7 +128,7 @@ def url_asset_document(spark, d):
     return all_urls(spark, d).select("url", U.is_asset(path).alias("is_asset"), U.is_document(path).alias("is_document"))
 
 
-@query(f"""WITH {url_cte('u', '(SELECT result_id, url, metadata.parent_url AS parent FROM stored_results)', 'result_id, parent')}, {url_cte('v', 'u', 'result_id, host AS a, ' + _IP + ' AS ip', 'parent')}
+@query(f"""WITH {url_cte('u', '(SELECT result_id, url, metadata.parent_url AS parent FROM stored_results)', 'result_id, parent')}, w AS (SELECT result_id, parent, host AS a, {_IP} AS ip FROM u), {url_cte('v', 'w', 'result_id, a, ip', 'parent')}
   SELECT result_id, nullif(a, '') AS domain, CASE WHEN NOT ip THEN nullif(a, '') END AS name,
     (CASE WHEN NOT ip THEN nullif(a, '') END) IS NOT DISTINCT FROM (CASE WHEN NOT {_IP} THEN nullif(host, '') END) AS same FROM v""")
 def url_domain(spark, d):
@@ -507,6 +507,6 @@ def rules_keep_only(spark, d):
     return _rules(spark, d, [C.Rule("names", "keep_only", "[A-Z][a-z]+")])
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace(upper(text), '[AEIOU]', '', 'g'), '^{WS}+|{WS}+$', '', 'g') AS cleaned FROM documents")
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[aeiou]', '', 'g'), '^{WS}+|{WS}+$', '', 'g') AS cleaned FROM documents")
 def rules_transform(spark, d):
-    return _rules(spark, d, [C.Rule("ends", "transform", "trim", priority=10), C.Rule("vowels", "remove", "[AEIOU]", priority=50), C.Rule("upper", "transform", "uppercase", priority=90), C.Rule("off", "remove", ".", priority=99, enabled=False)])
+    return _rules(spark, d, [C.Rule("ends", "transform", "trim", priority=10), C.Rule("vowels", "remove", "[aeiou]", priority=50), C.Rule("lower", "transform", "lowercase", priority=90), C.Rule("off", "remove", ".", priority=99, enabled=False)])

@@ -20,10 +20,11 @@ def throughput(stream: DataFrame, time: str = "ts", width: str = "1 hour", delay
     return stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def rate_windows(stream: DataFrame, domain: str, millis: str, max_requests: int, window_ms: int, idle_ms: int = 3_600_000) -> DataFrame:
+def rate_windows(stream: DataFrame, domain: str, millis: str, max_requests: int, window_ms: int, idle_ms: int | None = None) -> DataFrame:
     """domain, millis, in_window, over_limit, wait_ms per request, in the order of arrival within a batch sorted by time.
 
-    State per domain: the times within the window. A domain without requests for idle_ms of processing time is forgotten.
+    State per domain: the times within the window. With idle_ms, a domain without requests for so
+    long (processing time) is forgotten; a stream that is to end by itself must go without, as pending timeouts keep it alive.
     """
     out = f"{domain} string, {millis} long, in_window long, over_limit boolean, wait_ms long"
 
@@ -45,10 +46,11 @@ def rate_windows(stream: DataFrame, domain: str, millis: str, max_requests: int,
             rows += [(key[0], t, n, n > max_requests, window_ms // max_requests if n > 1 else 0)] * same
             i += same
         state.update((kept,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(rows, columns=[domain, millis, "in_window", "over_limit", "wait_ms"])
 
-    return stream.where(F.col(domain).isNotNull() & F.col(millis).isNotNull()).groupBy(domain).applyInPandasWithState(step, out, "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.where(F.col(domain).isNotNull() & F.col(millis).isNotNull()).groupBy(domain).applyInPandasWithState(step, out, "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def ttl_lookup(stream: DataFrame, cache: DataFrame, key: str, time: str, ttl_seconds: int) -> DataFrame:
