@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessella.common import let, named
 from tessella.functions.text import count_words, latin_filter, squeezed, trimmed
 
 _SCRIPT = r"(?is)<script\b[^>]*>.*?(?:</script[^>]*>|\z)"
@@ -21,14 +22,18 @@ def plain(html: Column) -> Column:
     return squeezed(F.regexp_replace(html, "<[^>]*>", " "))
 
 
-def gated(html: Column, least: int, stop: list[str], language_ok: Column | None = None) -> tuple[Column, Column]:
-    """(text, words): '' and 0 below MIN_BYTES bytes, below MIN_WORDS words, or for a language that is not accepted."""
-    text = latin_filter(plain(without_code(html)), least, stop)
-    n = count_words(text)
-    ok = (F.octet_length(html) >= MIN_BYTES) & (n >= MIN_WORDS)
-    if language_ok is not None:
-        ok = ok & language_ok
-    return F.when(html.isNull(), None).when(ok, text).otherwise(""), F.when(html.isNull(), None).when(ok, n).otherwise(0).cast("long")
+def gated(html: Column, least: int, stop: list[str]) -> tuple[Column, Column]:
+    """(text, words): '' and 0 below MIN_BYTES bytes or below MIN_WORDS words."""
+
+    def judged(x: Column) -> Column:
+        def counted(n: Column) -> Column:
+            ok = (F.octet_length(html) >= MIN_BYTES) & (n >= MIN_WORDS)
+            return named(text=F.when(ok, x).otherwise(""), words=F.when(ok, n).otherwise(F.lit(0).cast("long")))
+
+        return let(count_words(x), counted)
+
+    pair = let(plain(without_code(html)), lambda t: let(latin_filter(t, least, stop), judged))
+    return F.when(html.isNotNull(), pair["text"]), F.when(html.isNotNull(), pair["words"])
 
 
 def fallback(html: Column) -> Column:

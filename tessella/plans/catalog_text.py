@@ -507,6 +507,6 @@ def rules_keep_only(spark, d):
     return _rules(spark, d, [C.Rule("names", "keep_only", "[A-Z][a-z]+")])
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace(lower(text), '[aeiou]', '', 'g'), '^{WS}+|{WS}+$', '', 'g') AS cleaned FROM documents")
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(text, '[aeiou]', '', 'g'), '^{WS}+|{WS}+$', '', 'g') AS cleaned FROM documents")
 def rules_transform(spark, d):
-    return _rules(spark, d, [C.Rule("ends", "transform", "trim", priority=10), C.Rule("vowels", "remove", "[aeiou]", priority=50), C.Rule("lower", "transform", "lowercase", priority=90), C.Rule("off", "remove", ".", priority=99, enabled=False)])
+    return _rules(spark, d, [C.Rule("ends", "transform", "trim", priority=10), C.Rule("vowels", "remove", "[aeiou]", priority=50), C.Rule("off", "remove", ".", priority=99, enabled=False)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.common import staged
 from tessella.functions import html as H
 from tessella.functions import lang as L
 from tessella.functions import urls as U
@@ -20,11 +21,17 @@ def admitted(urls: DataFrame, robots: DataFrame, cfg: CrawlerConfig = CrawlerCon
 
 
 def extracted(pages: DataFrame, cfg: CrawlerConfig, html: str = "html") -> DataFrame:
-    """pages with title, text, words and language; text is '' where a gate stops the page, kept where words reach the minimum."""
+    """pages with title, text, words and language; text is '' where a gate stops the page, kept where words reach the minimum.
+
+    The steps are written tables, as each is used several times by the next.
+    """
     least, stop = cfg.latin
-    filtered = H.latin_filter(H.plain(H.without_code(F.col(html))), least, stop)
-    text, words = H.gated(F.col(html), least, stop, L.gate_ok(L.detect(filtered), list(cfg.languages)))
-    return pages.withColumn("title", H.title(F.col(html))).withColumn("text", text).withColumn("words", words).withColumn("language", L.detect(F.col("text"))).withColumn("kept", F.coalesce(F.col("words") >= cfg.min_words, F.lit(False)))
+    text, words = H.gated(F.col(html), least, stop)
+    first = staged(pages.withColumn("title", H.title(F.col(html))).withColumn("_text", text).withColumn("_words", words), "gated")
+    second = staged(first.withColumn("_code", L.detect(F.col("_text"))), "detected")
+    ok = L.gate_ok(F.col("_code"), list(cfg.languages))
+    out = second.withColumn("text", F.when(ok, F.col("_text")).otherwise("")).withColumn("words", F.when(ok, F.col("_words")).otherwise(0).cast("long")).withColumn("language", F.when(ok, F.col("_code")))
+    return out.withColumn("kept", F.coalesce(F.col("words") >= cfg.min_words, F.lit(False))).drop("_text", "_words", "_code")
 
 
 def discover(pages: DataFrame, page: str, base: str, html: str, cfg: links.ExtensiveConfig) -> DataFrame:
