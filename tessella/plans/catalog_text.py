@@ -290,12 +290,12 @@ def _scores_sql() -> str:
 _NAMES = "CASE code " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in L.NAMES.items()) + " ELSE 'Unknown' END"
 
 
-@query(f"""WITH {_scores_sql()} SELECT doc_id, code, {_NAMES} AS name, CASE WHEN code IN ('en', 'zh', 'fr', 'de', 'ja', 'ko') THEN code END AS typed, coalesce(code IN ('en', 'de', 'ko'), false) AS supported, code IS NULL OR code IN ('en', 'de', 'ko') AS gate, code IN ('zh', 'ja', 'ko') AS cjk,
+@query(f"""WITH {_scores_sql()} SELECT doc_id, code, {_NAMES} AS name, CASE WHEN code IN ('en', 'zh', 'fr', 'de', 'ja', 'ko') THEN code END AS typed, coalesce(code IN ('en', 'de', 'ko'), false) AS supported, code IS NULL OR code IN ('en', 'de', 'ko') AS gate, coalesce(code IN ('zh', 'ja', 'ko'), false) AS cjk,
   CASE code {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in L.HTTP_CODES.items())} END AS http FROM conf""")
 def lang_detect(spark, d):
     code = F.col("code")
     base = _docs(spark, d).where("text is not null").select("doc_id", L.detect(F.col("text")).alias("code"))
-    return base.select("doc_id", "code", L.name_of(code).alias("name"), L.typed(code).alias("typed"), L.supported(code, ["en", "de", "ko"]).alias("supported"), L.gate_ok(code, ["en", "de", "ko"]).alias("gate"), code.isin(L.CJK).alias("cjk"), L.http_code(code).alias("http"))
+    return base.select("doc_id", "code", L.name_of(code).alias("name"), L.typed(code).alias("typed"), L.supported(code, ["en", "de", "ko"]).alias("supported"), L.gate_ok(code, ["en", "de", "ko"]).alias("gate"), F.coalesce(code.isin(L.CJK), F.lit(False)).alias("cjk"), L.http_code(code).alias("http"))
 
 
 @query(f"WITH {_scores_sql()} SELECT doc_id, round(confidence, 6) AS confidence FROM conf")
