@@ -101,3 +101,15 @@ def test_subjects(spark):
     finally:
         subjects.vocabulary = old
     assert got == {(i, "law" if i % 2 else "sport") for i in range(40)} | {(92, "law"), (92, "sport")}
+
+
+def test_mixtures_come_near_their_fixed_point():
+    rng = np.random.default_rng(1)
+    comp = subjects._scaled(rng.random((60, 4)) ** 4)
+    rows, cols, counts = subjects._bags([rng.integers(0, 60, 40) for _ in range(50)])
+    full = np.zeros((50, 60))
+    full[rows, cols] = counts
+    h = np.ones((50, 4))
+    for _ in range(300):
+        h *= (full / (h @ comp.T)) @ comp
+    assert abs(subjects.mixtures(rows, cols, counts, 50, comp) - h).mean() < 0.01 * 40
