@@ -2,7 +2,7 @@
 
 1. Terms (words; pairs of neighbouring characters in scripts without spaces) are counted over all documents. The
    vocabulary is the terms in at least MIN_SHARE of them; as a document has few different terms, this bounds its size
-   whatever the corpus.
+   whatever the corpus. Common terms stay: they may be a text with many copies; the background takes those of all texts.
 2. Components: one per subject, anchored by the annotators' labels, and one (BACKGROUND) for what all texts share.
    A labelled document may use only its subjects' components and the background; all others may use all.
 3. Alternating non-negative (Kullback-Leibler) updates: given the components, each document's mixture; given the mixtures,
@@ -103,8 +103,7 @@ def vocabulary(docs: DataFrame) -> list[str]:
     n = docs.count()
     counted = docs.select("text").mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
     least = max(MIN_DOCS, MIN_SHARE * n)
-    most = 0.2 * n + MIN_DOCS
-    return [r[0] for r in counted.where((F.col("n") >= least) & (F.col("n") <= most)).select("term").orderBy("term").collect()]
+    return [r[0] for r in counted.where(F.col("n") >= least).select("term").orderBy("term").collect()]
 
 
 def encoded(docs: DataFrame, vocab: list[str]) -> DataFrame:

@@ -113,3 +113,19 @@ def test_mixtures_come_near_their_fixed_point():
     for _ in range(300):
         h *= (full / (h @ comp.T)) @ comp
     assert abs(subjects.mixtures(rows, cols, counts, 50, comp) - h).mean() < 0.01 * 40
+
+
+def test_subjects_of_a_text_with_many_copies(spark):
+    law = "The court heard the appeal and the judge ruled on the contract clause today."
+    words = {"sport": "goalkeeper penalty striker league referee stadium coach fixture", "food": "flour butter oven dough pastry simmer garlic recipe", "sea": "harbour tide vessel anchor rigging captain sailor lagoon"}
+    rnd = random.Random(1)
+    rows, want = [(i, "\n".join([law] * 3)) for i in range(40)], {(i, "law") for i in range(40)}
+    for i in range(40, 120):
+        s = list(words)[i % 3]
+        rows.append((i, "\n".join(f"The {' '.join(rnd.sample(words[s].split(), 4))} was seen there." for _ in range(3))))
+        want.add((i, s))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, s) for i, s in want if i % 2], "doc_id long, subject string")
+    areas = spark.createDataFrame([(s,) for s in ["law", *words]], "subject string")
+    assert "judge" in subjects.vocabulary(docs)
+    assert {tuple(r) for r in subjects.subjects_of(docs, labels, areas).collect()} == want
