@@ -129,3 +129,13 @@ def test_subjects_of_a_text_with_many_copies(spark):
     areas = spark.createDataFrame([(s,) for s in ["law", *words]], "subject string")
     assert "judge" in subjects.vocabulary(docs)
     assert {tuple(r) for r in subjects.subjects_of(docs, labels, areas).collect()} == want
+
+
+def test_long_pages_of_messages(spark):
+    trace = "Internal server error\n" + "\n".join(f"at com.site.app.Handler{i}.handle(Handler{i}.java:{i})" for i in range(60))
+    filler = "\n".join(["Your text here. Type something. Your text goes here."] * 40)
+    prose = "\n".join(["Page not found."] * 3 + ["The ferry leaves before dawn, and nobody in the village minds that it is so early, as all of them sleep."])
+    df = spark.createDataFrame([(i, f"https://a.test/{i}", None, x, 1) for i, x in enumerate([trace, filler, prose])], STORED)
+    assert sorted(r[0] for r in body.residue_pages(df).collect()) == [0, 1]
+    assert {r[0] for r in body.main_body(df).collect()} == {2}
+    assert {"Your text here.", "Page not found."} <= {r["template"] for r in body.residue_templates(df).collect()}
