@@ -2,8 +2,8 @@
 
 1. Over the whole corpus: in how many pages does each word, and each pair of neighbouring words, occur? Pairs in at least
    MIN_SHARE of the pages (and 3) are kept, which bounds their number whatever the corpus, since a page has few pairs.
-2. PMI of a pair: log(pages * n(xy) / (n(x) n(y))); pairs that are not kept get FLOOR, as nothing in the corpus holds them
-   together.
+2. PMI of a pair: log(pages * n(xy) / (n(x) n(y))). In the mean, pairs that are not kept get FLOOR, as little in the corpus
+   holds them together. Those that a page itself repeats have their counts joined to the page, so they get their PMI too.
 3. Of each page's running part (furniture, heading and byline aside, see layout): the mean PMI, the share of neighbour pairs
    that are collocations (PMI above 0) repeated excessively, the share of its commonest words, and how much of it stands in
    sentences. A page is a case if collocations are repeated far beyond prose, or if hardly anything is a sentence and the
@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.common import staged
+
 MIN_SHARE = 2e-5
 MIN_PAGES = 3
 FLOOR = -2.0
@@ -95,6 +97,7 @@ class Collocations:
         key, n = key[order], n[order].astype(np.float64)
         pair = key >= 1 << 32
         words, counts = key[~pair], n[~pair]
+        self.pages, self.words, self.counts = max(pages, 1), words, counts
         self.keys = key[pair]
         of = lambda h: counts[np.minimum(np.searchsorted(words, h), len(words) - 1)] if len(words) else np.ones(len(h))
         self.pmi = np.log(max(pages, 1) * n[pair] / (of(self.keys >> 32) * of(self.keys & 0xFFFFFFFF))).astype(np.float32)
@@ -105,13 +108,46 @@ class Collocations:
         at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
         return np.where(self.keys[at] == pairs, self.pmi[at], FLOOR)
 
+    def of_rare(self, pairs: np.ndarray, rare: dict[int, int]) -> np.ndarray:
+        """Of pairs of a page that are not kept; rare: its words and pairs below the bound, but for those of this page alone."""
+        n = lambda h: np.array([rare.get(x, 1) for x in h.tolist()], np.float64)
+
+        def word(h: np.ndarray) -> np.ndarray:
+            if not len(self.words):
+                return n(h)
+            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+            return np.where(self.words[at] == h, self.counts[at], n(h))
+
+        return np.log(self.pages * n(pairs) / (word(pairs >> 32) * word(pairs & 0xFFFFFFFF)))
+
+
+def repeats(rows: DataFrame) -> DataFrame:
+    """result_id, key: the pairs that a page has TIMES or more, and their words."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = Hashes()
+        for pdf in parts:
+            ids, keys = [], []
+            for rid, text in zip(pdf["result_id"], pdf["content"]):
+                pairs, times = np.unique(pairs_of(np.array([hashes[w] for w in _WORDS(text.lower())], np.int64)), return_counts=True)
+                pairs = pairs[times >= TIMES]
+                k = np.unique(np.concatenate([pairs, pairs >> 32, pairs & 0xFFFFFFFF]))
+                ids += [rid] * len(k)
+                keys.append(k)
+            yield pd.DataFrame({"result_id": np.array(ids, np.int64), "key": np.concatenate([np.zeros(0, np.int64), *keys])})
+
+    return rows.where("result_id is not null and content is not null and content <> ''").select("result_id", "content").mapInPandas(run, "result_id long, key long")
+
 
-def collocations(rows: DataFrame) -> Collocations:
-    """From all rows. What comes to the driver is bounded by MIN_SHARE."""
+def collocations(rows: DataFrame) -> tuple[Collocations, DataFrame]:
+    """From all rows; and of each page (result_id) the counts (rare: key, n) of what it repeats below the bound, where
+    other pages have it too. What comes to the driver is bounded by MIN_SHARE."""
     pages = rows.where("content is not null and content <> ''").count()
     least = max(MIN_PAGES, MIN_SHARE * pages)
-    kept = page_counts(rows).where(F.col("n") >= least).toPandas()
-    return Collocations(pages, kept["key"].to_numpy(np.int64), kept["n"].to_numpy(np.int64))
+    counts = staged(page_counts(rows).where("n > 1"), "counts")
+    kept = counts.where(F.col("n") >= least).toPandas()
+    rare = repeats(rows).join(counts.where(F.col("n") < least), "key").groupBy("result_id").agg(F.collect_list("key").alias("rare_keys"), F.collect_list("n").alias("rare_n"))
+    return Collocations(pages, kept["key"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)), rare
 
 
 _TAG = re.compile(r"^[#@]|^\W*(?:https?://|www\.)", re.I)
@@ -120,11 +156,11 @@ _STACK = re.compile(r"^\s*at [\w.$]+ ?\(|exception", re.I)
 _TABLE = re.compile(r"\|.*\||^\s*\w[\w ]{1,18}: \S|^\s*\d+ \w+ (?:of|de|di) ", re.I)
 
 
-def is_spam(parts: list[tuple[bool, str]], coll: Collocations, hashes: Hashes) -> bool:
-    """parts: (is it in sentences, line) of the running part."""
+def is_spam(parts: list[tuple[bool, str]], coll: Collocations, hashes: Hashes, rare: dict[int, int]) -> bool:
+    """parts: (is it in sentences, line) of the running part; rare: see Collocations.of_rare."""
     parts = [(s, x) for s, x in parts if len(x) > 200 or not _STACK.search(x)]
     total = sum(len(x) for _, x in parts)
-    if total < 200:
+    if not total:
         return False
     prose = sum(len(x) for s, x in parts if s) / total
     words = _WORDS("\n".join([x for _, x in parts]).lower())
@@ -139,8 +175,11 @@ def is_spam(parts: list[tuple[bool, str]], coll: Collocations, hashes: Hashes) -
     if len(pairs):
         pmi = coll.of(pairs)
         mean = float(pmi.mean())
-        _, at, times = np.unique(pairs, return_inverse=True, return_counts=True)
-        repeated = float(((times[at] >= TIMES) & (pmi > 0)).mean())
+        each, first, times = np.unique(pairs, return_index=True, return_counts=True)
+        held = pmi[first] > 0
+        unkept = (times >= TIMES) & (pmi[first] == FLOOR)
+        held[unkept] = coll.of_rare(each[unkept], rare) > 0
+        repeated = float(times[(times >= TIMES) & held].sum() / len(pairs))
     if len(pairs) >= PAIRS and (repeated >= REPEATED and common >= COMMON or repeated >= REPEATED_FAR and common >= COMMON_FAR):
         return True
     loose = [x for s, x in parts if not s and not _TABLE.search(x)]

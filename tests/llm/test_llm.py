@@ -139,3 +139,12 @@ def test_long_pages_of_messages(spark):
     assert sorted(r[0] for r in body.residue_pages(df).collect()) == [0, 1]
     assert {r[0] for r in body.main_body(df).collect()} == {2}
     assert {"Your text here.", "Page not found."} <= {r["template"] for r in body.residue_templates(df).collect()}
+
+
+def test_spam_of_rare_collocations_and_short_lists(spark):
+    rnd = random.Random(1)
+    say = "ferry harbour village early morning people sleep window garden letter winter river bread market".split()
+    rows = [(i, f"https://a.test/{i}", None, " ".join(rnd.sample(say, 10)) + " and so on.", 1) for i in range(40)]
+    rows += [(90, "https://b.test/1", None, "\n".join(f"Buy zork blat with zork blat or zork blat number{i}." for i in range(40)), 1)]
+    rows += [(91, "https://c.test/1", None, "\n".join(f"#tag{c}" for c in "abcdefghijklmn"), 1)]
+    assert [r[0] for r in body.spam_pages(spark.createDataFrame(rows, STORED)).orderBy("result_id").collect()] == [90, 91]
