@@ -1,169 +1,178 @@
-"""The parts of a page's text: furniture, heading, byline, teasers, messages and running text, line by line.
+"""Site template removal: what each line of a page is, by how often the host's pages repeat it.
 
-What recurs decides first: the element subtrees of a page, as far as its text keeps them, are its lines and the blocks
-they open; each is hashed by its letters and counted per host over different pages (pages with the same longest line are
-one), in Spark. Lines that recur on at least MIN_PAGES pages and one in ONE_IN of the host's are its template. The rules
-below tell what the template's lines open: a recurring "related stories" line owns the teasers under it.
+The element subtrees of a page, as far as its text keeps them, are its units: each line (hashed by its letters) and each
+opener, the label before a line's first separator with whatever follows it ("Sponsored: ..."). In Spark, units are counted
+per host over different urls, together with where they stand (COUNTS). Units on at least MIN_PAGES urls and one in ONE_IN
+of the host's are its template, and their positions say what they are:
+
+- OPENS: nearly always followed by list items or cut-off lines. It owns the block of teasers below it.
+- BYLINE: mostly between a heading and the first sentence. Such lines belong to the page, though authors recur.
+- an opener counts only if it mostly stands alone and nothing after it is a sentence, so tables, questions and
+  specifications, which come in runs, are no furniture.
+- everything else is furniture.
+
+No list of words decides. Pages without url have no template. Null, empty and blank contents have no rows.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.common import host_of, letters_key, lines_of, named, not_blank, small_side, staged
+from tessella.common import staged
 
 MIN_PAGES = 3
 ONE_IN = 100
 
-#: Cues of the seven languages (fixed values): lines of page furniture, what opens a block of teasers, and a teaser's prefix.
-FURNITURE = re.compile(
-    r"""cookie|クッキー|쿠키|small\ files\ on\ your\ device|partners?\ process|partner\ verarbeiten|partenaires\ traitons|socios\ tratamos|all\ rights\ reserved|alle\ rechte\ vorbehalten|tous\ droits\ r[ée]serv|todos\ los\ derechos|版权所有|無断転載|무단\ 전재
-    |without\ written\ consent|nur\ mit\ genehmigung|interdite\ sans|sin\ permiso\ de|书面同意|not\ responsible\ for\ the\ content|haftet\ nicht\ f|no\ responde\ del|책임지지|guest\ authors\ are|without\ guarantee|ohne\ gew[äa]hr|sans\ garantie|sin\ garant[ií]a
-    |log\ in\ to\ continue|read\ without\ ads|ab\ \d+\ im\ monat|d[èe]s\ \d+\ par\ mois|desde\ \d+\ al\ mes|letter\ in\ your\ inbox|jeden\ freitag|chaque\ vendredi|cada\ viernes|每周五|매주\ 금요일|毎週金曜
-    |^share\b.*(?:print|link)|^send\ by\ mail|^copy\ address|pass\ it\ on|people\ like\ this|^tell\ a\ friend|^follow\ |^suivez\ |^siga\ a|\ folgen$|^关注|팔로우|をフォロー|leave\ your\ address|leave\ a\ reply|first\ to\ comment|^\d+\ (?:comments?|commentaires?|comentarios?|kommentare?|shares?)$|条评论|댓글|コメント\d|コメントの表示
-    |^kommentar\ schreiben|laisser\ un\ comm|deje\ un\ comentario|recommander\ cet|recomendar\ este|artikel\ empfehlen|^back\ to\ top|^nach\ oben|^haut\ de\ page|^volver\ arriba|^返回顶部|^맨\ 위로|ページ上部|^(?:teilen|partager|compartir|分享|공유|共有)\s*[:：]
-    |privacy|datenschutz|confidentialit|privacidad|隐私|개인정보|プライバシー|^imprint|^impressum|registered\ office|customer\ service:|media\ house$|to\ see\ the\ gallery|comments\ need\ javascript|to\ vote\ in\ this\ poll|f[üu]r\ kommentare\ bitte|voir\ les\ commentaires|ver\ los\ comentarios|댓글을\ 보려면
-    |^careers$|^stellen$|^emplois$|^advertise$|^publicit[ée]$|contact\ the\ newsroom|small\ team\ that\ answers|kleinen\ redaktion|petite\ r[ée]daction|redacci[óo]n\ peque[ñn]a|小型编辑部|작은\ 편집부|小さな編集部|^about\ us:|no\ story\ on""",
-    re.I | re.X,
-)
-TEASERS = re.compile(r"related stories|^more from|trending now|you may also like|editors' picks|^most read|^popular|^read next|^mehr von|auch interessieren|^meistgelesen|^plus de\b|^à lire aussi$|^les plus lus|vous aimerez|^m[áa]s de\b|puede interesar|^lo m[áa]s le[íi]do|^更多|热门文章|더 보기$|많이 본|の記事$|よく読まれ|あわせて読|もっと見る", re.I)
-TEASER = re.compile(r"^(?:▶\s*)?(?:watch|video|more|don't miss|read also|advertisement|promoted|sponsored|partner offer|lesen sie auch|anzeige|à lire aussi|publicité|lea también|publicidad|延伸阅读|广告|광고|함께 읽기|あわせて読みたい|関連記事|広告|pr)\s*[:：|–—-]\s*\S", re.I)
-BYLINE = re.compile(r"^(?:by|written by|text|texto|texte|por|par|von|글|作者|记者|記者|文|取材)\s*[:：]?\s+\S|^(?:글|作者|文|取材|text|texto|texte)\s*[:：]|^记者|기자(?:\s*[|,].*)?$|, staff writer\b", re.I)
-DATE = re.compile(r"^\W*\d{1,4}[-./]\d{1,2}[-./]\d{1,4}(?:[ T]\d{1,2}:\d{2})?\W*$")
-_BULLET = re.compile(r"^\s*(?:[•\-*»›–·]+|\d{1,2}\.)\s+")
-_CUT = re.compile(r"(?:\.\.\.|…|\[…\])\s*[»›]?\s*$")
-_END = re.compile(r"[.!?。！？”\"](?:\s|$)|[。！？]")
-_WIDE = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
-_LETTER = re.compile(r"[^\W\d_]")
-_SPACES = re.compile(r"\s+")
+#: Looks of a line.
+BLANK, BARE, SENT, CUT, ITEM, WIDE, TITLE, DATED, SLOT, FILLER, TRACE, TABLE = (1 << i for i in range(12))
+#: Codes of template units.
+NONE, FURN, OPENS, BYLINE = 0, 1, 2, 3
+#: Labels of lines.
+L_BLANK, L_FURN, L_HEAD, L_BY, L_TEXT, L_LIST = range(6)
 
-BLANK, FURN, HEAD, BY, SUB, TEXT, LIST = "blank", "furniture", "heading", "byline", "subheading", "text", "list"
+_DATE = re.compile(r"^\W*\d{1,4}[-./]\d{1,2}[-./]\d{1,4}(?:[ T]\d{1,2}:\d{2})?\W*$")
+_BULLET = re.compile(r"\s*(?:[•\-*»›–·▶]+|\d{1,2}\.)\s+")
+_CUT = re.compile(r"(?:\.\.\.|…|\[…\])\s*[»›]?\s*$")
+_END = re.compile(r"[.!?][\s”\"]|[。！？]|ã€‚")  # the last is 。 read in a wrong encoding
+_CJK = re.compile(r"[぀-ヿ㐀-鿿가-힣]")
+_SEPARATOR = re.compile(r"\s*([:：])(?!//)|\s([–—|>›·-])\s")
+_TABLE = re.compile(r"\s*\w[\w ]{1,18}: \S|\s*\d+ \w+ (?:of|de|di) ", re.I)
+_TRACE = re.compile(r"\s*at [\w.$]+ ?\(")
+_ASCII = bytes(range(256)).lower(), bytes(c for c in range(128) if not chr(c).isalpha())
+OPENER = 40
+#: A block of teasers has at most this many lines; what is longer is the page's own list.
+BLOCK = 12
 
 
 def letters(text: str) -> str:
-    return "".join(c for c in text.lower() if c.isalpha())
-
-
-def is_sentence(line: str) -> bool:
-    """Ends like a sentence and is long enough for one."""
-    if is_wide(line):
-        return len(line) >= 8 and (line[-1] in "。！？.!?" or bool(_END.search(line)))
-    return line.count(" ") >= 3 and (line[-1] in ".!?" or bool(_END.search(line)))
-
-
-def is_wide(line: str) -> bool:
-    return not line.isascii() and bool(_WIDE.search(line))
-
-
-def is_cut(line: str) -> bool:
-    return bool(_CUT.search(line[-12:]))
-
-
-def unadorned(line: str) -> str:
-    """Without list signs, white space runs and what trails."""
-    return _SPACES.sub(" ", _BULLET.sub("", line)).strip(" \t\r»›…")
-
-
-class Looks(dict):
-    """What a line looks like on its own: (cleaned, kind), kept for the lines met last, as furniture comes again and again."""
-
-    def __missing__(self, line: str) -> tuple[str, str]:
-        if len(self) > 100_000:
-            self.clear()
-        x = unadorned(line)
-        short = len(x) <= 60
-        if not x:
-            kind = FURN if line.strip() else BLANK
-        elif DATE.match(x):
-            kind = BY
-        elif len(x) < 90 and BYLINE.search(x) and not is_sentence(x.rstrip(".")):
-            kind = FURN if FURNITURE.search(x) else BY
-        elif len(x) < 200 and TEASER.match(x) or x.count(" > ") >= 2 or x.count(" › ") >= 2 or short and FURNITURE.search(x):
-            kind = FURN
-        elif len(x) < 80 and not _LETTER.search(x):
-            kind = TEXT if re.search(r"\d", x) else FURN
-        else:
-            kind = ""
-        self[line] = x, kind
-        return x, kind
-
-
-def label(lines: list[str], recurring: set[int], title: str | None, looks: Looks | None = None) -> list[str]:
-    """One label per line. recurring: the numbers of lines of the host's template."""
-    n = len(lines)
-    looks = Looks() if looks is None else looks
-    clean, out = map(list, zip(*map(looks.__getitem__, lines)))
-    core = re.split(r"\s[-–|]\s(?=[^-–|]*$)", title)[0] if title else ""
-    name = letters(core)
-    same = [bool(name) and abs(len(x) - len(core)) < 12 and letters(x) == name for x in clean]
-    for i in recurring:
-        if i < n and not out[i] and not same[i]:
-            out[i] = FURN
-    # the heading: the title's line, else the line before the byline, else the last short line before the first text
-    head = next((i for i in range(n) if same[i] and not out[i]), None)
-    first = next((i for i in range(n) if not out[i] and is_sentence(clean[i]) and not is_cut(lines[i]) and len(clean[i]) > (25 if is_wide(clean[i]) else 60)), None)
+    """What is compared of a line: its letters, in lower case."""
+    if text.isascii():
+        return text.encode().translate(*_ASCII).decode()
+    return "".join(filter(str.isalpha, text.lower()))
+
+
+def look_of(line: str) -> tuple[int, str, str, str]:
+    """(look, letters, letters of the opener or '', separator) of a line on its own."""
+    if not line.strip():
+        return BLANK, "", "", ""
+    bullet = _BULLET.match(line)
+    core = (line[bullet.end() :] if bullet else line).strip(" \t\r\xa0\u3000»›…↑▾")
+    key = letters(line)
+    look = 0 if key else BARE
+    if line.isascii() or not _CJK.search(line):
+        sent = core.count(" ") >= 3 and (core[-1:] in (".", "!", "?") or bool(_END.search(core)))
+    else:
+        look |= WIDE
+        sent = len(core) >= 8 and (core[-1:] in (".", "!", "?") or bool(_END.search(core)))
+    if sent:
+        look |= SENT
+    if _CUT.search(line[-12:]):
+        look |= CUT
+    if (bullet or line.rstrip()[-1:] in ("»", "›")) and len(key) >= (8 if look & WIDE else 12) or look & CUT:
+        look |= ITEM
+    if _DATE.match(line):
+        look |= DATED
+    if _TRACE.match(line):
+        look |= TRACE
+    if not sent and (line.count("|") > 1 or _TABLE.match(line)):
+        look |= TABLE
+    sep = _SEPARATOR.search(core, 0, OPENER + 3)
+    opener = letters(core[: sep.start()]) if sep else ""
+    return look, key, opener if opener and len(opener) < len(key) else "", (sep[1] or sep[2]) if sep else ""
+
+
+def title_core(title: str | None) -> str:
+    """The letters of the title, without a site's name behind a dash or bar."""
+    return letters(re.split(r"\s[-–|]\s(?=[^-–|]*$)", title)[0]) if title else ""
+
+
+def is_text(look: int, size: int) -> bool:
+    """A whole sentence, long enough for a paragraph."""
+    return bool(look & SENT) and not look & CUT and size > (25 if look & WIDE else 60)
+
+
+def label(look: list[int], size: list[int], code: list[int], opener: list[int]) -> list[int]:
+    """One label per line. code: what its line is in the host's template; opener: the same of its opener."""
+    n = len(look)
+    out = [-1] * n
+    for i in range(n):
+        if look[i] & BLANK:
+            out[i] = L_BLANK
+        elif look[i] & DATED:
+            out[i] = L_BY
+        elif code[i] == BYLINE:
+            out[i] = L_BY
+        elif look[i] & TITLE:
+            pass
+        elif code[i] or opener[i]:
+            out[i] = L_FURN
+    # the heading: the title's line, else the line before the byline, else the last line before the first text
+    head = next((i for i in range(n) if look[i] & TITLE and out[i] < 0), None)
+    first = next((i for i in range(n) if out[i] < 0 and is_text(look[i], size[i]) and not look[i] & ITEM), None)
     if head is None:
-        by = next((i for i in range(n) if out[i] == BY), None)
+        by = next((i for i in range(n) if out[i] == L_BY), None)
         stop = by if by is not None else first
         if stop is not None:
-            head = next((i for i in range(stop - 1, -1, -1) if not out[i] and len(clean[i]) < 160 and not is_cut(lines[i])), None)
+            head = next((i for i in range(stop - 1, -1, -1) if out[i] < 0 and size[i] < 160 and not look[i] & (CUT | ITEM)), None)
     if head is not None:
-        out[head] = HEAD
-    # what a teaser line opens: short lines and cut-off ones, until the heading, furniture or a whole sentence
-    open_ = False
-    for i, x in enumerate(clean):
-        if out[i] == BLANK:
-            continue
-        if out[i] == FURN:
-            open_ = bool(TEASERS.search(x)) and not TEASER.match(x) and len(x) < 60
-            continue
-        if out[i]:
-            open_ = False
+        out[head] = L_HEAD
+    # what a template line opens: items, short lines and cut-off ones, until the heading, furniture or a whole paragraph
+    open_, block = False, []
+    for i in range(n):
+        if out[i] == L_BLANK:
             continue
-        if is_cut(lines[i]) and len(x) < 320:
-            out[i] = FURN
+        if out[i] >= 0:
+            if open_ and len(block) <= BLOCK:
+                for k in block:
+                    out[k] = L_FURN
+            open_, block = out[i] == L_FURN and code[i] == OPENS, []
             continue
-        if open_:
-            long_text = is_sentence(x) and len(x) > (40 if is_wide(x) else 90) and not _BULLET.match(lines[i])
-            if not long_text:
-                out[i] = FURN
-                continue
+        if open_ and (look[i] & ITEM or not (look[i] & SENT and size[i] > (40 if look[i] & WIDE else 90))):
+            block.append(i)
+        elif open_:
+            if len(block) <= BLOCK:
+                for k in block:
+                    out[k] = L_FURN
             open_ = False
-        out[i] = TEXT if is_sentence(x) else LIST
+    if open_ and len(block) <= BLOCK:
+        for k in block:
+            out[k] = L_FURN
+    for i in range(n):
+        if out[i] < 0:
+            out[i] = L_TEXT if look[i] & SENT else L_LIST
     # pointers that stand between or below the footers
-    last = max((i for i in range(n) if out[i] in (HEAD, BY, TEXT)), default=-1)
-    below = False
-    for i in range(last + 1, n):
-        below = below or out[i] == FURN
-        if below and out[i] == LIST:
-            out[i] = FURN
+    last = max((i for i in range(n) if out[i] in (L_HEAD, L_BY, L_TEXT)), default=-1)
+    if last >= 0:
+        from_ = next((i for i in range(last + 1, n) if out[i] == L_FURN), n)
+        pointers = [i for i in range(from_, n) if out[i] == L_LIST]
+        if len(pointers) <= BLOCK:
+            for i in pointers:
+                out[i] = L_FURN
     return out
 
 
-def page_table(rows: DataFrame) -> DataFrame:
-    """result_id, host, line_no, line (hash), page (hash of the longest line) of every line with letters."""
-    ok = rows.where(F.col("url").isNotNull() & F.col("content").isNotNull()).where(not_blank(F.col("content")))
-    keys = F.transform(lines_of(F.col("content")), letters_key)
-    base = ok.select("result_id", F.xxhash64(host_of(F.col("url"))).alias("host"), keys.alias("keys"))
-    longest = F.array_max(F.transform("keys", lambda k: named(n=F.length(k), k=k)))["k"]
-    each = base.select("result_id", "host", F.xxhash64(longest).alias("page"), F.posexplode("keys").alias("line_no", "key")).where("key <> ''")
-    return each.select("result_id", "host", "page", "line_no", F.xxhash64("key").alias("line"))
+#: What is counted of a unit, per host: on how many urls it stands, and on how many it looks like each kind.
+COUNTS = ("opens", "byline", "alone", "whole")
 
 
-def templates(lines: DataFrame, min_pages: int = MIN_PAGES, one_in: int = ONE_IN) -> DataFrame:
-    """(host, line) of the lines that recur on different pages of a host."""
-    distinct = lines.select("host", "line", "page").distinct()
-    counts = distinct.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    pages = lines.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    return staged(counts.join(pages, "host").where(F.col("n") * one_in >= F.col("pages")).select("host", "line"), "templates")
+def unit_key(host: Column, unit: Column) -> Column:
+    return F.xxhash64(host, unit)
 
 
-def with_recurring(rows: DataFrame) -> DataFrame:
-    """rows with content, and recurring: the numbers of their template lines. Null and blank contents are left out."""
-    lines = page_table(rows)
-    known = small_side(templates(lines))
-    found = lines.join(known, ["host", "line"], "left_semi").groupBy("result_id").agg(F.collect_set("line_no").alias("recurring"))
-    return rows.where(F.col("content").isNotNull()).where(not_blank(F.col("content"))).join(found, "result_id", "left")
+def templates(units: DataFrame, min_pages: int = MIN_PAGES, one_in: int = ONE_IN) -> DataFrame:
+    """host, unit, code of the host's template. units: host, unit, url, is_opener and COUNTS as 0 or 1, in any number of
+    rows; a url counts once for a unit."""
+    per_url = units.groupBy("host", "unit", "url").agg(F.max("is_opener").alias("is_opener"), *[F.max(c).alias(c) for c in COUNTS])
+    n = per_url.groupBy("host", "unit").agg(F.count("*").alias("n"), F.max("is_opener").alias("is_opener"), *[F.sum(c).alias(c) for c in COUNTS]).where(F.col("n") >= min_pages)
+    pages = units.select("host", "url").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    code = (
+        F.when(F.col("is_opener") == 1, F.when((F.col("alone") * 2 > F.col("n")) & (F.col("whole") * 2 < F.col("n")), FURN).otherwise(NONE))
+        .when(F.col("opens") * 5 >= F.col("n") * 4, OPENS)
+        .when(F.col("byline") * 2 > F.col("n"), BYLINE)
+        .otherwise(FURN)
+    )
+    kept = n.join(pages, "host").where(F.col("n") * one_in >= F.col("pages")).select("host", "unit", code.alias("code"))
+    return staged(kept.where(F.col("code") > 0), "templates")

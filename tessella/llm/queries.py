@@ -45,6 +45,11 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return body.not_body(_pages(spark, d))
+
+
+def p4_body(spark: SparkSession, d: str) -> DataFrame:
+    """The contents with their main body only."""
     return body.main_body(_pages(spark, d))
 
 
@@ -88,7 +93,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p1_rebuilt, p2_found, p3_found, p3_rate, p4_found, p6_found, p6_templates, p7_ids, p8_found, p8_items, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p1_rebuilt, p2_found, p3_found, p3_rate, p4_found, p4_body, p6_found, p6_templates, p7_ids, p8_found, p8_items, p9_found, p9_composition)}
 
 
 _LINES = r"""

@@ -1,190 +1,106 @@
 """Problem 2: keyword-stuffed and link-list pages, by the pointwise mutual information of neighbouring words.
 
-1. Over the whole corpus: in how many pages does each word, and each pair of neighbouring words, occur? Pairs in at least
-   MIN_SHARE of the pages (and 3) are kept, which bounds their number whatever the corpus, since a page has few pairs.
-2. PMI of a pair: log(pages * n(xy) / (n(x) n(y))). In the mean, pairs that are not kept get FLOOR, as little in the corpus
-   holds them together. Those that a page itself repeats have their counts joined to the page, so they get their PMI too.
-3. Of each page's running part (furniture, heading and byline aside, see layout): the mean PMI, the share of neighbour pairs
-   that are collocations (PMI above 0) repeated excessively, the share of its commonest words, and how much of it stands in
-   sentences. A page is a case if collocations are repeated far beyond prose, or if hardly anything is a sentence and the
-   rest is word salad (low mean PMI), repeated, or single tags and addresses, in many lines or one long string.
-
-Words and pairs are counted under 32-bit and 64-bit hashes. Null, empty and blank contents are no cases; repeated rows
-count each; an empty table gives an empty result.
+1. Over the whole corpus: on how many pages each word, and each pair of neighbouring words, occurs (features). Nothing is
+   cut off: a pair of one page alone has the count 1. Counts come back to the shards that need them, never to the driver.
+2. PMI of a pair: log(pages * n(xy) / (n(x) n(y))). Of the running part of each page (furniture, heading and byline aside,
+   see layout): the mean PMI, the share of incoherent pairs (PMI below COHERENT), the share of repeats among collocations
+   (PMI above 0), plain and weighted by PMI, the share of the commonest words, and how much of it stands in sentences.
+3. A page is a case
+   - if collocations are repeated excessively: the weighted share of repeats and that of the commonest words are both beyond
+     what pages in sentences show (WEIGHTED, COMMON);
+   - or if hardly anything stands in sentences (PROSE; tables aside) and the pairs are not those of text: word salad (many
+     incoherent pairs), repeated collocations, or nothing but collocations (mean PMI far above that of text, CLOSED).
+
+Null, empty and blank contents are no cases; repeated rows count each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-from collections.abc import Iterator
-from zlib import crc32
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.common import staged
-
-MIN_SHARE = 2e-5
-MIN_PAGES = 3
-FLOOR = -2.0
-FLUSH = 4_000_000
-
-#: Limits of a page's running part.
-PAIRS = 60
-REPEATED, COMMON = 0.25, 0.5
-REPEATED_FAR, COMMON_FAR = 0.65, 0.33
-COHERENT = 1.5
-TIMES = 4
-
-#: Words, and the ends of lines, which no pair goes past.
-_WORDS = re.compile(r"\n|[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+").findall
-
-
-class Hashes(dict):
-    """Word to its hash, 1 .. 2^31 - 1; 0 for the end of a line."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = 0 if word == "\n" else (crc32(word.encode("utf-8", "replace")) & 0x7FFFFFFF) or 1
-        return h
-
-
-def pairs_of(keys: np.ndarray) -> np.ndarray:
-    """Neighbours within lines."""
-    a, b = keys[:-1], keys[1:]
-    return (a << 32 | b)[(a > 0) & (b > 0)]
-
-
-def page_counts(rows: DataFrame) -> DataFrame:
-    """key, n: pages with the word (key below 2^31) or pair (first << 32 | second)."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, keys, counts, held = Hashes(), [], [], 0
-
-        def summed() -> pd.DataFrame:
-            k, at = np.unique(np.concatenate(keys), return_inverse=True)
-            return pd.DataFrame({"key": k, "n": np.bincount(at, weights=np.concatenate(counts)).astype(np.int64)})
-
-        for pdf in parts:
-            found = []
-            for text in pdf["content"]:
-                k = np.array([hashes[w] for w in _WORDS(text.lower())], np.int64)
-                found.append(np.unique(np.concatenate([k[k > 0], pairs_of(k)])))
-            if not found:
-                continue
-            k, n = np.unique(np.concatenate(found), return_counts=True)
-            keys.append(k)
-            counts.append(n)
-            held += len(k)
-            if held > FLUSH:
-                yield summed()
-                keys, counts, held = [], [], 0
-        if keys:
-            yield summed()
-
-    return rows.where("content is not null and content <> ''").select("content").mapInPandas(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class Collocations:
-    """PMI of the kept pairs."""
-
-    def __init__(self, pages: int, key: np.ndarray, n: np.ndarray):
-        order = np.argsort(key)
-        key, n = key[order], n[order].astype(np.float64)
-        pair = key >= 1 << 32
-        words, counts = key[~pair], n[~pair]
-        self.pages, self.words, self.counts = max(pages, 1), words, counts
-        self.keys = key[pair]
-        of = lambda h: counts[np.minimum(np.searchsorted(words, h), len(words) - 1)] if len(words) else np.ones(len(h))
-        self.pmi = np.log(max(pages, 1) * n[pair] / (of(self.keys >> 32) * of(self.keys & 0xFFFFFFFF))).astype(np.float32)
-
-    def of(self, pairs: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(pairs), FLOOR, np.float32)
-        at = np.minimum(np.searchsorted(self.keys, pairs), len(self.keys) - 1)
-        return np.where(self.keys[at] == pairs, self.pmi[at], FLOOR)
-
-    def of_rare(self, pairs: np.ndarray, rare: dict[int, int]) -> np.ndarray:
-        """Of pairs of a page that are not kept; rare: its words and pairs below the bound, but for those of this page alone."""
-        n = lambda h: np.array([rare.get(x, 1) for x in h.tolist()], np.float64)
-
-        def word(h: np.ndarray) -> np.ndarray:
-            if not len(self.words):
-                return n(h)
-            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-            return np.where(self.words[at] == h, self.counts[at], n(h))
-
-        return np.log(self.pages * n(pairs) / (word(pairs >> 32) * word(pairs & 0xFFFFFFFF)))
-
-
-def repeats(rows: DataFrame) -> DataFrame:
-    """result_id, key: the pairs that a page has TIMES or more, and their words."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = Hashes()
-        for pdf in parts:
-            ids, keys = [], []
-            for rid, text in zip(pdf["result_id"], pdf["content"]):
-                pairs, times = np.unique(pairs_of(np.array([hashes[w] for w in _WORDS(text.lower())], np.int64)), return_counts=True)
-                pairs = pairs[times >= TIMES]
-                k = np.unique(np.concatenate([pairs, pairs >> 32, pairs & 0xFFFFFFFF]))
-                ids += [rid] * len(k)
-                keys.append(k)
-            yield pd.DataFrame({"result_id": np.array(ids, np.int64), "key": np.concatenate([np.zeros(0, np.int64), *keys])})
-
-    return rows.where("result_id is not null and content is not null and content <> ''").select("result_id", "content").mapInPandas(run, "result_id long, key long")
-
-
-def collocations(rows: DataFrame) -> tuple[Collocations, DataFrame]:
-    """From all rows; and of each page (result_id) the counts (rare: key, n) of what it repeats below the bound, where
-    other pages have it too. What comes to the driver is bounded by MIN_SHARE."""
-    pages = rows.where("content is not null and content <> ''").count()
-    least = max(MIN_PAGES, MIN_SHARE * pages)
-    counts = staged(page_counts(rows).where("n > 1"), "counts")
-    kept = counts.where(F.col("n") >= least).toPandas()
-    rare = repeats(rows).join(counts.where(F.col("n") < least), "key").groupBy("result_id").agg(F.collect_list("key").alias("rare_keys"), F.collect_list("n").alias("rare_n"))
-    return Collocations(pages, kept["key"].to_numpy(np.int64), kept["n"].to_numpy(np.int64)), rare
-
-
-_TAG = re.compile(r"^[#@]|^\W*(?:https?://|www\.)", re.I)
-_STACK = re.compile(r"^\s*at [\w.$]+ ?\(|exception", re.I)
-#: Rows of tables, specifications and lists of amounts are part of a page in sentences.
-_TABLE = re.compile(r"\|.*\||^\s*\w[\w ]{1,18}: \S|^\s*\d+ \w+ (?:of|de|di) ", re.I)
-
-
-def is_spam(parts: list[tuple[bool, str]], coll: Collocations, hashes: Hashes, rare: dict[int, int]) -> bool:
-    """parts: (is it in sentences, line) of the running part; rare: see Collocations.of_rare."""
-    parts = [(s, x) for s, x in parts if len(x) > 200 or not _STACK.search(x)]
-    total = sum(len(x) for _, x in parts)
-    if not total:
-        return False
-    prose = sum(len(x) for s, x in parts if s) / total
-    words = _WORDS("\n".join([x for _, x in parts]).lower())
-    count = Counter(words)
-    ends = count.pop("\n", 0)
-    common = sum(n for _, n in count.most_common(8)) / max(1, len(words) - ends)
-    if prose >= 0.25 and common < COMMON_FAR - 0.05:
-        return False
-    keys = np.array([hashes[w] for w in words], np.int64)
-    pairs = pairs_of(keys)
-    repeated, mean = 0.0, FLOOR
-    if len(pairs):
-        pmi = coll.of(pairs)
-        mean = float(pmi.mean())
-        each, first, times = np.unique(pairs, return_index=True, return_counts=True)
-        held = pmi[first] > 0
-        unkept = (times >= TIMES) & (pmi[first] == FLOOR)
-        held[unkept] = coll.of_rare(each[unkept], rare) > 0
-        repeated = float(times[(times >= TIMES) & held].sum() / len(pairs))
-    if len(pairs) >= PAIRS and (repeated >= REPEATED and common >= COMMON or repeated >= REPEATED_FAR and common >= COMMON_FAR):
-        return True
-    loose = [x for s, x in parts if not s and not _TABLE.search(x)]
-    tags = sum(1 for x in loose if _TAG.search(x.strip()))
-    broken = len(pairs) < 2 * len(loose) or mean < COHERENT or repeated >= 0.1 or tags * 2 >= len(loose)
-    many = len(loose) >= 12 and prose < 0.1 or len(loose) >= 25 and prose < 0.25
-    long = prose < 0.25 and any(len(x.split()) >= 40 for x in loose) or any(x.count("#") >= 12 for x in loose) and prose < 0.25
-    return broken and (many or long)
+from tessella.llm import layout
+
+#: Limits, the same at every size of the corpus. WEIGHTED and COMMON lie at the upper fences (third quartile and 1.5 times
+#: the quartiles' distance) that pages have on sf0.1.
+PAIRS = 40
+WEIGHTED, COMMON = 0.55, 0.38
+PROSE, PAIRS_LOOSE = 0.2, 60
+COHERENT, INCOHERENT = 1.5, 0.2
+REPEATED, CLOSED = 0.08, 4.0
+#: How many of a page's words are its commonest.
+TOP = 8
+
+STATISTICS = "pairs long, pmi double, incoherent double, repeated double, weighted double, common double, prose double"
+
+
+def _pmi(pair: np.ndarray, known: tuple[np.ndarray, np.ndarray], pages: int) -> np.ndarray:
+    """Of pairs (first << 32 | second); known: the words and pairs that occur on more than one page, and on how many."""
+    order = np.argsort(known[0])
+    key, n = known[0][order], known[1][order].astype(np.float64)
+
+    def count(x: np.ndarray) -> np.ndarray:
+        if not len(key):
+            return np.ones(len(x))
+        at = np.minimum(np.searchsorted(key, x), len(key) - 1)
+        return np.where(key[at] == x, n[at], 1.0)
+
+    return np.log(max(pages, 1) * count(pair) / (count(pair >> 32) * count(pair & 0xFFFFFFFF)))
+
+
+def _ranks(group: np.ndarray) -> np.ndarray:
+    """Numbers within runs of equal values."""
+    first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if len(group) else np.zeros(0, np.int64)
+    return np.arange(len(group)) - np.repeat(first, np.diff(np.r_[first, len(group)]))
+
+
+def statistics(word: np.ndarray, n_words: np.ndarray, n_lines: np.ndarray, label: np.ndarray, look: np.ndarray, size: np.ndarray, known: tuple[np.ndarray, np.ndarray], pages: int) -> dict[str, pa.Array]:
+    """STATISTICS of a shard's pages. word: their words one after the other, 0 for the end of a line; label, look, size: of
+    their lines; pages: of the whole corpus."""
+    n = len(n_words)
+    page, line_page = np.repeat(np.arange(n), n_words), np.repeat(np.arange(n), n_lines)
+    running = ((label == layout.L_TEXT) | (label == layout.L_LIST)) & (look & layout.TRACE == 0)
+    line = np.cumsum(word == 0) - (word == 0) + page
+    on = running[line] if len(line) else np.zeros(0, bool)
+
+    def per_page(of: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+        return np.bincount(of, weights=weights, minlength=n)
+
+    at = np.flatnonzero(word > 0)
+    a, b = at[:-1], at[1:]
+    ok = (page[a] == page[b]) & on[a] & on[b]
+    a, b = a[ok], b[ok]
+    of = page[a].astype(np.int64)
+    each, which = np.unique(word[a] << 32 | word[b], return_inverse=True)
+    pmi = _pmi(each, known, pages)
+    m = per_page(of)
+    some = np.maximum(m, 1)
+    in_page, times = np.unique(of * max(1, len(each)) + which, return_counts=True)
+    its, pair = in_page // max(1, len(each)), in_page % max(1, len(each))
+    again = np.where(pmi[pair] > 0, times - 1, 0)
+    used = at[on[at]]
+    words, counts = np.unique(page[used].astype(np.int64) << 32 | word[used], return_counts=True)
+    order = np.lexsort((-counts, words >> 32))
+    whose, counts = (words >> 32)[order], counts[order]
+    top = _ranks(whose) < TOP
+    told = running & (look & layout.TABLE == 0)
+    sentences = told & (look & layout.SENT > 0)
+    return {
+        "pairs": pa.array(m, pa.int64()),
+        "pmi": pa.array(per_page(of, pmi[which]) / some),
+        "incoherent": pa.array(per_page(of, (pmi[which] < COHERENT).astype(float)) / some),
+        "repeated": pa.array(per_page(its, again.astype(float)) / some),
+        "weighted": pa.array(per_page(its, again * pmi[pair]) / np.maximum(per_page(its, times * np.abs(pmi[pair])), 1e-9)),
+        "common": pa.array(per_page(whose[top], counts[top].astype(float)) / np.maximum(per_page(page[used]), 1)),
+        "prose": pa.array(per_page(line_page, np.where(sentences, size, 0)) / np.maximum(per_page(line_page, np.where(told, size, 0)), 1)),
+    }
+
+
+def is_spam() -> Column:
+    """Of the columns STATISTICS."""
+    c = F.col
+    stuffed = (c("pairs") >= PAIRS) & (c("weighted") >= WEIGHTED) & (c("common") >= COMMON)
+    loose = (c("pairs") >= PAIRS_LOOSE) & (c("prose") < PROSE) & ((c("incoherent") >= INCOHERENT) | (c("repeated") >= REPEATED) | (c("pmi") >= CLOSED))
+    return stuffed | loose

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tessella.llm import bpe, body, layout, leakage, residue, seen, sitelines, subjects
+from tessella.llm import body, bpe, features, layout, leakage, residue, seen, sitelines, spam, subjects
 
 STORED = "result_id long, url string, title string, content string, extra int"
 
@@ -73,10 +73,45 @@ def test_slots_and_messages():
     assert residue.verdict("Comments need JavaScript to load.") == "" and residue.verdict("The ferry leaves before dawn.") == ""
 
 
-def test_layout():
-    lines = ["News | Jobs | Home", "A heading", "By Some One", "A long sentence of running text that ends as it should, with a full stop.", "Read also: another page", "Related stories", "- Other title", "", "© 2020 X. All rights reserved."]
-    kinds = layout.label(lines, {0, 5}, "A heading - Site")
-    assert kinds == ["furniture", "heading", "byline", "text", "furniture", "furniture", "furniture", "blank", "furniture"]
+def _looks(lines):
+    looks = [layout.look_of(x) for x in lines]
+    return [x[0] for x in looks], [len(x) for x in lines]
+
+
+def test_labels_follow_the_template():
+    lines = ["News | Jobs | Home", "A heading", "By Some One", "A long sentence of running text that ends as it should, with a full stop.", "Read also: another page", "Related stories", "- Another title here", "Bare title", "", "Contact us"]
+    look, size = _looks(lines)
+    code = [layout.FURN, 0, layout.BYLINE, 0, 0, layout.OPENS, 0, 0, 0, layout.FURN]
+    got = layout.label(look, size, code, [0, 0, 0, 0, layout.FURN, 0, 0, 0, 0, 0])
+    f = layout.L_FURN
+    assert got == [f, layout.L_HEAD, layout.L_BY, layout.L_TEXT, f, f, f, f, layout.L_BLANK, f]
+    # without a template nothing is furniture, whatever it says
+    assert f not in layout.label(look, size, [0] * 10, [0] * 10)
+    # a long list under such a line is the page's own
+    many = lines[:6] + [f"entry {c}" for c in "abcdefghijklmnop"]
+    look, size = _looks(many)
+    assert layout.label(look, size, code[:6] + [0] * 16, [0] * 22)[6:] == [layout.L_LIST] * 16
+
+
+def _site(n, own, footer="Cookies and Privacy | this footer of the house is longer than any line of the text of its pages, and it comes again and again"):
+    menu = "News | Jobs | Home"
+    return [(i, f"https://a.test/{i}", None, f"{menu}\n{own(i)}\n{footer}", 1) for i in range(n)]
+
+
+def _name(i):
+    return "".join("abcdefghij"[int(d)] for d in str(i))
+
+
+def test_furniture_is_what_recurs_on_a_host(spark):
+    rows = _site(60, lambda i: f"Heading {_name(i)}\nText: Ada {'BC'[i % 2]}\nThe ferry {_name(i)} leaves before dawn, and nobody in the village of {_name(i + 7)} minds it much.\nSponsored: lamp {_name(i)} of {_name(i + 3)}")
+    rows += [(90, "https://b.test/1", None, "Cookies and Privacy\nThe baker of the old town writes about cookies here, and about nothing else at all.", 1)]
+    rows += [(91, None, None, "News | Jobs | Home\nx", 1), (92, "https://a.test/92", None, None, 1), (93, "https://a.test/93", None, " \n", 1), (94, "https://a.test/1", None, rows[1][3], 1)]
+    df = spark.createDataFrame(rows, STORED)
+    got = {tuple(r) for r in body.not_body(df).collect()}
+    assert got == {(i, k) for i in [*range(60), 94] for k in (0, 4, 5)}
+    kept = {r[0]: r[1] for r in body.main_body(df).collect()}
+    assert kept[3].startswith("Heading d\nText: Ada C\nThe ferry d") and kept[90] == rows[60][3] and kept[93] == " \n" if 93 in kept else True
+    assert body.not_body(df.limit(0)).count() == 0
 
 
 def test_page_operators_on_hard_rows(spark):
@@ -85,8 +120,54 @@ def test_page_operators_on_hard_rows(spark):
     df = spark.createDataFrame(rows, STORED)
     assert [r[0] for r in body.spam_pages(df).collect()] == [1]
     assert [r[0] for r in body.residue_pages(df).collect()] == [2]
-    assert {tuple(r) for r in body.main_body(df).collect()} == {(3, 0), (6, 0), (6, 1)}  # a page without url has no template
-    assert body.main_body(df.limit(0)).count() == 0
+    assert {r[0] for r in body.main_body(df).collect()} == {3, 6}
+    assert body.spam_pages(df.limit(0)).count() == 0 and body.residue_pages(df.limit(0)).count() == 0
+
+
+def test_pmi_decides(monkeypatch):
+    """A list of entries that are no sentences is a case for its incoherent pairs; with one PMI for all it is none."""
+    rng = np.random.default_rng(1)
+    word = np.concatenate([np.r_[rng.permutation(np.arange(1, 400))[:3], 0] for _ in range(60)])
+    known = (np.arange(1, 400), np.full(399, 300))
+    args = word, np.array([240]), np.array([61]), np.full(61, layout.L_LIST), np.zeros(61, np.int64), np.full(61, 20), known, 1000
+
+    def case():
+        told = {k: v.to_pylist()[0] for k, v in spam.statistics(*args).items()}
+        return told["prose"] < spam.PROSE and (told["incoherent"] >= spam.INCOHERENT or told["repeated"] >= spam.REPEATED or told["pmi"] >= spam.CLOSED)
+
+    assert case()
+    monkeypatch.setattr(spam, "_pmi", lambda pair, known, pages: np.full(len(pair), 3.0))
+    assert not case()
+
+
+def test_pmi_is_that_of_the_counts():
+    known = (np.array([1, 2, 1 << 32 | 2]), np.array([10, 5, 4]))
+    got = spam._pmi(np.array([1 << 32 | 2, 2 << 32 | 1, 3 << 32 | 4]), known, 100)
+    assert np.allclose(got, np.log([100 * 4 / 50, 100 * 1 / 50, 100]))
+
+
+def test_shards_do_not_change_the_result(spark, monkeypatch):
+    rows = _site(30, lambda i: f"Heading {_name(i)}\nThe ferry {_name(i)} leaves before dawn, and nobody minds it much here.") + [(90, "https://b.test/1", None, "buy lamps cheap lamps " * 40, 1)]
+    df = spark.createDataFrame(rows, STORED)
+    one = {tuple(r) for r in body.not_body(df).collect()}, {r[0] for r in body.spam_pages(df).collect()}
+    monkeypatch.setattr(features, "SHARD", 300)
+    shard, lines = features.Shard(0), features.Lines()
+    for r in rows:
+        shard.add(lines, r[0], 1, r[0], r[2], r[3])
+    word = dict(zip(*[x.tolist() for x in shard.counted()[1:]]))
+    assert max(word.values()) == 30
+    assert ({tuple(r) for r in body.not_body(df.repartition(7)).collect()}, {r[0] for r in body.spam_pages(df.repartition(7)).collect()}) == one
+
+
+def test_templates_merge_words_that_differ():
+    got = residue.merged(["The page about boats is gone for good now", "The page about trees is gone for good now", "A whole other message stands here in full now"])
+    assert got == ["The page about <*> is gone for good now"] * 2 + ["A whole other message stands here in full now"]
+
+
+def test_messages_without_a_known_word_follow_their_company(spark):
+    rows = [(i, f"https://h{i % 3}.test/{i}", None, f"Zork blat happened ({i}{i})\nPage not found.\nTry again later.", 1) for i in range(6)]
+    rows += [(7, "https://h9.test/7", None, "Zork blat happened (77)", 1), (8, "https://h9.test/8", None, "Some short note (77)", 1)]
+    assert {r[0] for r in body.residue_pages(spark.createDataFrame(rows, STORED)).collect()} == {0, 1, 2, 3, 4, 5, 7}
 
 
 def test_subjects(spark):
@@ -141,10 +222,10 @@ def test_long_pages_of_messages(spark):
     assert {"Your text here.", "Page not found."} <= {r["template"] for r in body.residue_templates(df).collect()}
 
 
-def test_spam_of_rare_collocations_and_short_lists(spark):
+def test_spam_of_rare_collocations_and_lists(spark):
     rnd = random.Random(1)
     say = "ferry harbour village early morning people sleep window garden letter winter river bread market".split()
     rows = [(i, f"https://a.test/{i}", None, " ".join(rnd.sample(say, 10)) + " and so on.", 1) for i in range(40)]
     rows += [(90, "https://b.test/1", None, "\n".join(f"Buy zork blat with zork blat or zork blat number{i}." for i in range(40)), 1)]
-    rows += [(91, "https://c.test/1", None, "\n".join(f"#tag{c}" for c in "abcdefghijklmn"), 1)]
+    rows += [(91, "https://c.test/1", None, "\n".join(f"#tag{c} #lamp{c}" for c in "abcdefghijklmnopqrstuvwxyz" * 2), 1)]
     assert [r[0] for r in body.spam_pages(spark.createDataFrame(rows, STORED)).orderBy("result_id").collect()] == [90, 91]
