@@ -98,9 +98,16 @@ def statistics(word: np.ndarray, n_words: np.ndarray, n_lines: np.ndarray, label
     }
 
 
-def is_spam() -> Column:
-    """Of the columns STATISTICS."""
+def is_stuffed() -> Column:
+    """Collocations are repeated excessively; of the columns STATISTICS."""
+    return (F.col("pairs") >= PAIRS) & (F.col("weighted") >= WEIGHTED) & (F.col("common") >= COMMON)
+
+
+def is_loose() -> Column:
+    """Entries, tags, addresses or word salad rather than sentences; of the columns STATISTICS."""
     c = F.col
-    stuffed = (c("pairs") >= PAIRS) & (c("weighted") >= WEIGHTED) & (c("common") >= COMMON)
-    loose = (c("pairs") >= PAIRS_LOOSE) & (c("prose") < PROSE) & ((c("incoherent") >= INCOHERENT) | (c("repeated") >= REPEATED) | (c("pmi") >= CLOSED))
-    return stuffed | loose
+    return (c("pairs") >= PAIRS_LOOSE) & (c("prose") < PROSE) & ((c("incoherent") >= INCOHERENT) | (c("repeated") >= REPEATED) | (c("pmi") >= CLOSED))
+
+
+def is_spam() -> Column:
+    return is_stuffed() | is_loose()
