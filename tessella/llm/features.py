@@ -4,8 +4,10 @@ The pass writes one table (staged, so it is read many times but computed once) w
 SHARD characters of text. A shard never crosses a task, so its number is that of the task and a running one.
 
 - Of each page: per line its unit, opener, look and size, and its words under the shard's own numbers.
-- Of each shard: its units (host, unit, url, where they stand) and its words and pairs of neighbouring words (number in the
-  shard, 64-bit hash, in how many of its pages).
+- Of each shard: its units (with url, host and where they stand; once more without url) and its words and pairs of
+  neighbouring words (number in the shard, 64-bit hash, in how many of its pages).
+
+Units are negative numbers, hashed together with their host; numbers of words and pairs are positive.
 
 Counts over the corpus are sums over shards in Spark; what a shard needs of them is joined by its own keys and comes back
 with the shard's pages as one group, whose size SHARD bounds. No host, word or pair is gathered in one task. A single text
@@ -29,7 +31,7 @@ from xxhash import xxh64_intdigest
 from tessella.common import host_of, not_blank, staged
 from tessella.llm import layout, residue
 
-SHARD = 8_000_000
+SHARD = 20_000_000
 
 #: Words; each sign of scripts without spaces is one. A line's end is a token of its own.
 _WORDS = re.compile(r"\n|[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+").findall
@@ -42,16 +44,17 @@ def words(low: str) -> list[str]:
         return low.replace("\n", " \x01 ").encode().translate(_APART).decode().split()
     return _WORDS(low)
 
-SCHEMA = """shard long, result_id long, host long, unit array<long>, open array<long>, look array<int>, size array<int>, rest array<int>, word array<int>,
-u_host array<long>, u_unit array<long>, u_url array<long>, u_flags array<int>, w_local array<long>, w_key array<long>, w_n array<int>"""
+SCHEMA = """shard long, result_id long, host long, url long, unit array<long>, open array<long>, look array<int>, size array<int>, word array<int>,
+u_unit array<long>, u_url array<long>, u_host array<long>, u_flags array<int>, own array<long>, w_local array<long>, w_key array<long>, w_n array<int>"""
 _I64, _I32 = pa.list_(pa.int64()), pa.list_(pa.int32())
 _ARROW = pa.schema(
-    [("shard", pa.int64()), ("result_id", pa.int64()), ("host", pa.int64())]
-    + [(n, t) for n, t in zip("unit open look size rest word".split(), (_I64, _I64, _I32, _I32, _I32, _I32))]
-    + [(n, t) for n, t in zip("u_host u_unit u_url u_flags w_local w_key w_n".split(), (_I64, _I64, _I64, _I32, _I64, _I64, _I32))]
+    [(n, pa.int64()) for n in "shard result_id host url".split()]
+    + [(n, t) for n, t in zip("unit open look size word".split(), (_I64, _I64, _I32, _I32, _I32))]
+    + [(n, t) for n, t in zip("u_unit u_url u_host u_flags own w_local w_key w_n".split(), (_I64, _I64, _I64, _I32, _I64, _I64, _I64, _I32))]
 )
 #: What is kept of each line, and its type.
-_OF_LINE = {"unit": "q", "open": "q", "look": "i", "size": "i", "rest": "i"}
+_OF_LINE = {"unit": "q", "open": "q", "look": "i", "size": "i"}
+_LOWEST = -0x8000000000000000
 #: Bits of u_flags: the unit is an opener; COUNTS of layout.
 IS_OPENER, OPENS, BYLINE, ALONE, WHOLE = 1, 2, 4, 8, 16
 #: Entries of one row of a shard's units or words.
@@ -61,18 +64,20 @@ PAGES = 2000
 
 
 def _hash(text: str) -> int:
-    return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63) or 1
+    """63 bits, never 0."""
+    return xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1 or 1
 
 
 class Lines(dict):
-    """line -> (look, unit, opener, size, long segments, separator); template lines come again and again."""
+    """line -> (look, hash of its letters, hash of its opener, size, separator); template lines come again and again."""
 
-    def __missing__(self, line: str) -> tuple[int, int, int, int, int, str]:
+    def __missing__(self, line: str) -> tuple[int, int, int, int, str]:
         if len(self) > 100_000:
             self.clear()
         look, key, opener, sep = layout.look_of(line)
-        rest = residue.long_segments(line) if len(line) > residue.LONG else 0
-        found = self[line] = (look, _hash(key) if key else 0, _hash("opener " + opener) if opener else 0, len(line.strip()), rest, sep)
+        if len(line) > residue.LONG:
+            look |= min(3, residue.long_segments(line)) * layout.LONG
+        found = self[line] = (look, _hash(key) if key else 0, _hash("opener " + opener) if opener else 0, len(line.strip()), sep)
         return found
 
 
@@ -87,14 +92,15 @@ class Local(dict):
 class Shard:
     def __init__(self, number: int):
         self.number, self.chars, self.ids = number, 0, Local({"\n": 0, "\x01": 0})
-        self.pages: list[tuple[int | None, int | None]] = []
+        self.pages: list[tuple[int | None, int | None, int | None]] = []
         self.of_line = {n: array(c) for n, c in _OF_LINE.items()}
         self.of_word, self.n_lines, self.n_words = array("i"), array("i"), array("i")
-        self.units: dict[tuple[int, int, int], int] = {}
+        self.units: dict[tuple[int, int], int] = {}
+        self.own: dict[int, int] = {}
 
     def add(self, lines: Lines, rid: int | None, host: int | None, url: int | None, title: str | None, content: str) -> None:
         texts = content.split("\n")
-        look, unit, open_, size, rest, sep = map(list, zip(*map(lines.__getitem__, texts)))
+        look, unit, open_, size, sep = map(list, zip(*map(lines.__getitem__, texts)))
         core = layout.title_core(title)
         if core:
             key = _hash(core)
@@ -104,19 +110,22 @@ class Shard:
         low = content.lower()
         if residue.may_be_lorem(low):
             look = [x | layout.FILLER if residue.is_lorem(t) else x for x, t in zip(look, texts)]
+        salt = 0 if host is None else (host & 0x7FFFFFFFFFFFFFFF) * 0x5851F42D4C957F2D & 0x7FFFFFFFFFFFFFFF
+        unit = [u ^ salt | _LOWEST if u else 0 for u in unit]
+        open_ = [u ^ salt | _LOWEST if u else 0 for u in open_]
         before = len(self.of_word)
         self.of_word.extend(map(self.ids.__getitem__, words(low)))
         self.n_words.append(len(self.of_word) - before)
-        for values, found in zip(self.of_line.values(), (unit, open_, look, size, rest)):
+        for values, found in zip(self.of_line.values(), (unit, open_, look, size)):
             values.extend(found)
         self.n_lines.append(len(texts))
-        self.pages.append((rid, host))
+        self.pages.append((rid, host, url))
         self.chars += len(content)
         if url is not None:
             self._places(host, url, [i for i, x in enumerate(look) if not x & layout.BLANK], look, unit, open_, size, sep)
 
     def _places(self, host: int, url: int, at: list[int], look: list[int], unit: list[int], open_: list[int], size: list[int], sep: list[str]) -> None:
-        units, item, sent = self.units, layout.ITEM, layout.SENT
+        units, own, item, sent = self.units, self.own, layout.ITEM, layout.SENT
         last, texts = len(at) - 1, 0
         for j, i in enumerate(at):
             texts += layout.is_text(look[i], size[i])
@@ -128,8 +137,9 @@ class Shard:
                 flags |= OPENS
             if before >= 0 and after >= 0 and texts < 2 and not before & (sent | item) and after & sent and not after & item and not look[i] & (sent | item):
                 flags |= BYLINE
-            k = (host, unit[i], url)
+            k = (unit[i], url)
             units[k] = units.get(k, 0) | flags
+            own[unit[i]] = host
             if open_[i]:
                 # alone: no neighbour of the same build; whole: what follows the label is a sentence
                 flags = IS_OPENER
@@ -137,8 +147,9 @@ class Shard:
                     flags |= ALONE
                 if look[i] & sent and not look[i] & layout.CUT:
                     flags |= WHOLE
-                k = (host, open_[i], url)
+                k = (open_[i], url)
                 units[k] = units.get(k, 0) | flags
+                own[open_[i]] = host
 
     def counted(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """local, key, n of the words and pairs; local of a pair is first << 32 | second."""
@@ -177,13 +188,17 @@ class Shard:
         lists = {n: _lists(v, self.n_lines) for n, v in self.of_line.items()} | {"word": _lists(self.of_word, self.n_words)}
         for at in range(0, len(self.pages), PAGES):
             some = self.pages[at : at + PAGES]
-            ids = {n: pa.array([p[i] for p in some], pa.int64()) for i, n in enumerate(("result_id", "host"))}
+            ids = {n: pa.array([p[i] for p in some], pa.int64()) for i, n in enumerate(("result_id", "host", "url"))}
             yield _batch({"shard": [self.number] * len(some), **ids, **{n: v.slice(at, PAGES) for n, v in lists.items()}}, len(some))
-        units, flags = list(self.units), np.fromiter(self.units.values(), np.int32, len(self.units))
-        cols = [np.fromiter((k[i] for k in units), np.int64, len(units)) for i in range(3)]
-        for at in range(0, len(units), CHUNK):
+        flags = np.fromiter(self.units.values(), np.int32, len(self.units))
+        unit, url = (np.fromiter((k[i] for k in self.units), np.int64, len(self.units)) for i in range(2))
+        host = np.fromiter((self.own[k[0]] for k in self.units), np.int64, len(self.units))
+        for at in range(0, len(unit), CHUNK):
             s = slice(at, at + CHUNK)
-            yield _batch({"shard": [self.number], **{n: pa.array([c[s]], _I64) for n, c in zip(("u_host", "u_unit", "u_url"), cols)}, "u_flags": pa.array([flags[s]], _I32)}, 1)
+            yield _batch({"shard": [self.number], **{n: pa.array([c[s]], _I64) for n, c in zip(("u_unit", "u_url", "u_host"), (unit, url, host))}, "u_flags": pa.array([flags[s]], _I32)}, 1)
+        own = np.fromiter(self.own, np.int64, len(self.own))
+        for at in range(0, len(own), CHUNK):
+            yield _batch({"shard": [self.number], "own": pa.array([own[at : at + CHUNK]], _I64)}, 1)
         local, key, n = self.counted()
         for at in range(0, len(local), CHUNK):
             s = slice(at, at + CHUNK)
@@ -231,14 +246,12 @@ def featured(rows: DataFrame) -> DataFrame:
 
 
 def units_of(features: DataFrame) -> DataFrame:
-    each = features.where("u_unit is not null").select(F.explode(F.arrays_zip("u_host", "u_unit", "u_url", "u_flags")).alias("u"))
-    bit = lambda b: (F.col("u.u_flags").bitwiseAND(b) > 0).cast("int")
-    return each.select(
-        F.col("u.u_host").alias("host"), F.col("u.u_unit").alias("unit"), F.col("u.u_url").alias("url"),
-        bit(IS_OPENER).alias("is_opener"), bit(OPENS).alias("opens"), bit(BYLINE).alias("byline"), bit(ALONE).alias("alone"), bit(WHOLE).alias("whole"),
-    )
+    """unit, url, host, flags; a shard has each unit and url once."""
+    each = features.where("u_unit is not null").select(F.explode(F.arrays_zip("u_unit", "u_url", "u_host", "u_flags")).alias("u"))
+    return each.select(*[F.col(f"u.u_{n}").alias(n) for n in ("unit", "url", "host", "flags")])
 
 
 def words_of(features: DataFrame) -> DataFrame:
+    """shard, local, key, n of the words and pairs of each shard."""
     each = features.where("w_key is not null").select("shard", F.explode(F.arrays_zip("w_local", "w_key", "w_n")).alias("w"))
-    return each.select("shard", F.col("w.w_local").alias("local"), F.col("w.w_key").alias("key"), F.col("w.w_n").alias("n"))
+    return each.select("shard", *[F.col(f"w.w_{n}").alias(n) for n in ("local", "key", "n")])

@@ -2,7 +2,7 @@
 
 The element subtrees of a page, as far as its text keeps them, are its units: each line (hashed by its letters) and each
 opener, the label before a line's first separator with whatever follows it ("Sponsored: ..."). In Spark, units are counted
-per host over different urls, together with where they stand (COUNTS). Units on at least MIN_PAGES urls and one in ONE_IN
+per host over different urls, together with where they stand. Units on at least MIN_PAGES urls and one in ONE_IN
 of the host's are its template, and their positions say what they are:
 
 - OPENS: nearly always followed by list items or cut-off lines. It owns the block of teasers below it.
@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.common import staged
@@ -28,6 +28,8 @@ ONE_IN = 100
 
 #: Looks of a line.
 BLANK, BARE, SENT, CUT, ITEM, WIDE, TITLE, DATED, SLOT, FILLER, TRACE, TABLE = (1 << i for i in range(12))
+#: Two bits above them: how many segments of a line are as long as a sentence of prose, 3 for more.
+LONG = 1 << 12
 #: Codes of template units.
 NONE, FURN, OPENS, BYLINE = 0, 1, 2, 3
 #: Labels of lines.
@@ -154,25 +156,21 @@ def label(look: list[int], size: list[int], code: list[int], opener: list[int])
     return out
 
 
-#: What is counted of a unit, per host: on how many urls it stands, and on how many it looks like each kind.
-COUNTS = ("opens", "byline", "alone", "whole")
+def templates(units: DataFrame, pages: DataFrame, min_pages: int = MIN_PAGES, one_in: int = ONE_IN) -> DataFrame:
+    """unit, code of the hosts' templates. units: unit (hashed with its host), url, host, flags (see features), in any number
+    of rows; a url counts once for a unit. pages: host, url of all pages."""
+    from tessella.llm import features
 
-
-def unit_key(host: Column, unit: Column) -> Column:
-    return F.xxhash64(host, unit)
-
-
-def templates(units: DataFrame, min_pages: int = MIN_PAGES, one_in: int = ONE_IN) -> DataFrame:
-    """host, unit, code of the host's template. units: host, unit, url, is_opener and COUNTS as 0 or 1, in any number of
-    rows; a url counts once for a unit."""
-    per_url = units.groupBy("host", "unit", "url").agg(F.max("is_opener").alias("is_opener"), *[F.max(c).alias(c) for c in COUNTS])
-    n = per_url.groupBy("host", "unit").agg(F.count("*").alias("n"), F.max("is_opener").alias("is_opener"), *[F.sum(c).alias(c) for c in COUNTS]).where(F.col("n") >= min_pages)
-    pages = units.select("host", "url").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    per_url = units.groupBy("unit", "url").agg(F.max("host").alias("host"), F.bit_or("flags").alias("flags"))
+    times = lambda bit: F.count_if(F.col("flags").bitwiseAND(bit) > 0)
+    bits = {"opener": features.IS_OPENER, "opens": features.OPENS, "byline": features.BYLINE, "alone": features.ALONE, "whole": features.WHOLE}
+    n = per_url.groupBy("unit").agg(F.count("*").alias("n"), F.max("host").alias("host"), *[times(b).alias(k) for k, b in bits.items()]).where(F.col("n") >= min_pages)
+    urls = pages.distinct().groupBy("host").agg(F.count("*").alias("urls"))
     code = (
-        F.when(F.col("is_opener") == 1, F.when((F.col("alone") * 2 > F.col("n")) & (F.col("whole") * 2 < F.col("n")), FURN).otherwise(NONE))
+        F.when(F.col("opener") > 0, F.when((F.col("alone") * 2 > F.col("n")) & (F.col("whole") * 2 < F.col("n")), FURN).otherwise(NONE))
         .when(F.col("opens") * 5 >= F.col("n") * 4, OPENS)
         .when(F.col("byline") * 2 > F.col("n"), BYLINE)
         .otherwise(FURN)
     )
-    kept = n.join(pages, "host").where(F.col("n") * one_in >= F.col("pages")).select("host", "unit", code.alias("code"))
+    kept = n.join(urls, "host").where(F.col("n") * one_in >= F.col("urls")).select("unit", code.alias("code"))
     return staged(kept.where(F.col("code") > 0), "templates")
