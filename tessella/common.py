@@ -31,10 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share: the session's spark.checkpoint.dir. Where that is unset, a temporary one if the
+    session is local, so that its executors have it too; an error on a cluster, where no folder of this machine will do."""
     sc = spark.sparkContext
     given = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not given:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN_DIRS:
             _OWN_DIRS.append("file://" + tempfile.mkdtemp(prefix="tessella-"))
             atexit.register(_drop_own)

@@ -135,12 +135,25 @@ def normalize_core(u: Column) -> Column:
     return F.when(p.ok, p.text(_unslashed(p.path), query, F.lit(None).cast("string"))).otherwise(u)
 
 
+def _decoded(part: Column) -> Column:
+    """A form's key or value without percent signs and plus signs; what does not decode keeps its percent signs."""
+    return F.coalesce(F.try_url_decode(part), F.replace(part, F.lit("+"), F.lit(" ")))
+
+
+def _query_encoded(query: Column) -> Column:
+    """With what a query may not hold as it is in percent signs."""
+    odd = r"[^\x21\x24-\x26\x28-\x3B\x3D\x3F-\x7E]"
+    each = F.transform(F.split(query, ""), lambda c: F.when(c.rlike(odd), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c))
+    return F.when(query.rlike(odd), F.array_join(each, "")).otherwise(query)
+
+
 def normalize_tracking(u: Column) -> Column:
-    """No fragment, no tracking parameters, no slashes at the end, all in lower case."""
+    """No fragment, no tracking parameters, decoded query, no slashes at the end, all in lower case."""
     p = parsed(u)
-    pairs = F.filter(F.split(p.query, "&", -1), lambda x: (x != "") & ~F.substring_index(x, "=", 1).isin(TRACKING))
-    pairs = F.transform(pairs, lambda x: F.when(x.contains("="), x).otherwise(F.concat(x, F.lit("="))))
-    query = F.nullif(F.array_join(pairs, "&"), F.lit(""))
+    pairs = F.transform(F.filter(F.split(p.query, "&", -1), lambda x: x != ""), lambda x: F.when(x.contains("="), x).otherwise(F.concat(x, F.lit("="))))
+    halves = F.transform(pairs, lambda x: named(k=_decoded(F.substring_index(x, "=", 1)), v=_decoded(F.regexp_replace(x, "^[^=]*=", ""))))
+    kept = F.transform(F.filter(halves, lambda x: ~x["k"].isin(TRACKING)), lambda x: F.concat(x["k"], F.lit("="), x["v"]))
+    query = F.nullif(_query_encoded(F.array_join(kept, "&")), F.lit(""))
     return F.when(p.ok, F.lower(p.text(_unslashed(p.path), F.coalesce(query, F.lit(None).cast("string")), F.lit(None).cast("string")))).otherwise(u)
 
 
@@ -201,13 +214,21 @@ def status_text(code: Column) -> Column:
 FORM_LANGUAGES = "en fr de zh ja ko es it pt ru ar hi".split()
 
 
+#: White space that forms trim at both ends.
+FORM_WS = r"[\t-\r\p{Z}\x{FEFF}]"
+
+
+def form_trimmed(t: Column) -> Column:
+    return F.regexp_replace(t, rf"^{FORM_WS}+|{FORM_WS}+\z", "")
+
+
 def sanitize_url_simple(u: Column) -> Column:
-    clean = F.regexp_replace(F.trim(u), "[<>'\"]", "")
+    clean = F.regexp_replace(form_trimmed(u), "[<>'\"]", "")
     return F.when(clean.rlike("^https?://"), clean).otherwise(F.concat(F.lit("https://"), clean))
 
 
 def sanitize_url(u: Column) -> Column:
-    clean = F.substring(F.regexp_replace(F.trim(u), "[<>'\"]", ""), 1, 2048)
+    clean = F.substring(F.regexp_replace(form_trimmed(u), "[<>'\"]", ""), 1, 2048)
     return F.when(clean.startswith("//"), F.concat(F.lit("https:"), clean)).when(clean.rlike("(?i)^https?://"), clean).otherwise(F.concat(F.lit("https://"), clean))
 
 
@@ -216,11 +237,11 @@ def form_url_ok(u: Column) -> Column:
 
 
 def sanitize_text_simple(t: Column) -> Column:
-    return F.substring(F.regexp_replace(F.trim(t), "[<>'\"&]", ""), 1, 500)
+    return F.substring(F.regexp_replace(form_trimmed(t), "[<>'\"&]", ""), 1, 500)
 
 
 def sanitize_text(t: Column) -> Column:
-    return F.substring(F.trim(F.regexp_replace(F.regexp_replace(t, "[<>\"'%;()&+]", ""), r"--|/\*|\*/", "")), 1, 1000)
+    return F.substring(form_trimmed(F.regexp_replace(F.regexp_replace(t, "[<>\"'%;()&+]", ""), r"--|/\*|\*/", "")), 1, 1000)
 
 
 def sanitize_language(code: Column) -> Column:

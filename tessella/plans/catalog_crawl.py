@@ -113,7 +113,7 @@ def _prio_sql(pattern: str) -> str:
     return f"CAST({_CLAMP(f'{v} - CASE WHEN fragment IS NOT NULL THEN 3 ELSE 0 END')} AS INTEGER)"
 
 
-_CFG = L.ExtensiveConfig(scope="subdomains", priority_patterns=("/news/",), exclude_patterns=(r"\?page=",), max_links_per_page=4)
+_CFG = L.ExtensiveConfig(scope="subdomains", priority_patterns=("/news/",), exclude_patterns=(r"\?page=",), max_links_per_page=100)
 _BASE_IP = r"regexp_matches(base_host, '^\d{1,3}(?:\.\d{1,3}){3}$|^\[')"
 _DOM = lambda h: f"CASE WHEN {h} <> '' AND NOT regexp_matches({h}, '^\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}$|^\\[') THEN {h} END"
 _REASON = f"""CASE WHEN NOT (depth + 1 < 3) THEN 'Depth limit exceeded: ' || (depth + 1) WHEN NOT (({_DOM('host')}) IS NOT DISTINCT FROM ({_DOM('base_host')}) OR coalesce(ends_with(host, '.' || base_host), false)) THEN 'Domain not allowed'
@@ -121,7 +121,7 @@ _REASON = f"""CASE WHEN NOT (depth + 1 < 3) THEN 'Depth limit exceeded: ' || (de
   WHEN {_EXT} IN ({_q(L.EXCLUDED)}) THEN 'Extension ''' || {_EXT} || ''' in exclude list' WHEN regexp_matches(url, '\\?page=') THEN 'URL matches exclude patterns' ELSE '{L.PASSED}' END"""
 _PROC = f"""cat AS (SELECT *, {_CAT} AS category FROM links), proc0 AS (SELECT page_id, seq, url, {_ORIGIN} || path || coalesce('?' || query, '') AS norm, category, {_prio_sql('/news/')} AS priority, {_REASON} AS reason, depth + 1 AS depth FROM cat),
   proc1 AS (SELECT *, reason = '{L.PASSED}' AS should_crawl, coalesce(sum(CASE WHEN reason = '{L.PASSED}' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM proc0),
-  proc AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, seq) AS rank FROM proc1 WHERE before < 4)"""
+  proc AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY priority DESC, seq) AS rank FROM proc1 WHERE before < 100)"""
 
 
 @query(f"WITH {_LINKS}, {_PROC} SELECT page_id, seq, norm, category, priority, depth, should_crawl, reason, rank FROM proc")
@@ -186,12 +186,12 @@ def discovery_running_mean(spark, d):
     return p.select("page_id", F.round(Q.truncating_mean(F.transform("x", lambda e: e["priority"])), 6).alias("running_mean"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT url AS src, unnest(links_found) AS dst FROM stored_results), k AS (SELECT url, 0 AS round FROM (SELECT url FROM stored_results WHERE url IS NOT NULL ORDER BY url LIMIT 1)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT url AS src, unnest(links_found) AS dst FROM stored_results), k AS (SELECT DISTINCT url, 0 AS round FROM stored_results WHERE url IS NOT NULL AND coalesce(metadata.parent_url, '') = ''
   UNION SELECT e.dst, k.round + 1 FROM k JOIN e ON e.src = k.url WHERE k.round < 3) SELECT url, CAST(min(round) AS INTEGER) AS round FROM k WHERE url IS NOT NULL GROUP BY url""")
 def frontier_rounds(spark, d):
     s = _stored(spark, d)
     edges = s.select(F.col("url").alias("src"), F.explode("links_found").alias("dst")).distinct()
-    return Q.rounds(edges, s.where("url is not null").select("url").orderBy("url").limit(1), 3)
+    return Q.rounds(edges, s.where("url is not null and coalesce(metadata.parent_url, '') = ''").select("url").distinct(), 3)
 
 
 _RANKS = "CASE lower(trim(priority)) WHEN 'low' THEN 1 WHEN 'normal' THEN 2 WHEN 'medium' THEN 3 WHEN 'high' THEN 4 WHEN 'critical' THEN 5 ELSE 0 END"
@@ -404,10 +404,7 @@ def storage_roundtrip(spark, d):
     """Written as JSON lines and read back; rows without a required field do not come back."""
     folder = os.path.join(shared_dir(spark), "tessella", f"results-{uuid.uuid4().hex}")
     R.write_results(_stored(spark, d).select([f.name for f in R.RESULT.fields]), folder)
-    back = spark.read.schema(R.RESULT).option("mode", "DROPMALFORMED").json(folder)
-    for c in R.REQUIRED:
-        back = back.where(F.col(c).isNotNull())
-    return back.select("url", "content", "word_count", F.size("links_found").cast("long").alias("n_links"), F.col("metadata.status_code").alias("status"), F.col("timestamp.secs_since_epoch").alias("secs"))
+    return R.read_results(spark, folder).select("url", "content", "word_count", F.size("links_found").cast("long").alias("n_links"), F.col("metadata.status_code").alias("status"), F.col("timestamp.secs_since_epoch").alias("secs"))
 
 
 @query("SELECT url, coalesce(title, '') AS title, word_count AS words, coalesce(language, '') AS language, metadata.response_time_ms AS ms, coalesce(metadata.status_code, 0) AS status FROM stored_results")

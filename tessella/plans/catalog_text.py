@@ -91,7 +91,12 @@ def url_normalize_core(spark, d):
     return _stored(spark, d).select("result_id", U.normalize_core(F.col("url")).alias("norm"))
 
 
-_KEPT = f"nullif(array_to_string(list_transform(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT list_contains({_list(U.TRACKING)}, split_part(x, '=', 1))), lambda x: CASE WHEN contains(x, '=') THEN x ELSE x || '=' END), '&'), '')"
+_DECODED = lambda c: f"coalesce(TRY(url_decode(replace({c}, '+', ' '))), replace({c}, '+', ' '))"
+_KEY, _VALUE = "split_part(x, '=', 1)", "regexp_replace(CASE WHEN contains(x, '=') THEN x ELSE x || '=' END, '^[^=]*=', '')"
+_PAIRS = f"list_transform(list_filter(string_split(query, '&'), lambda x: x <> ''), lambda x: {{'k': {_DECODED(_KEY)}, 'v': {_DECODED(_VALUE)}}})"
+_ODD = r"[^\x21\x24-\x26\x28-\x3B\x3D\x3F-\x7E]"
+_JOINED = f"array_to_string(list_transform(list_filter({_PAIRS}, lambda x: NOT list_contains({_list(U.TRACKING)}, x.k)), lambda x: x.k || '=' || x.v), '&')"
+_KEPT = f"nullif(array_to_string(list_transform(string_split({_JOINED}, ''), lambda c: CASE WHEN regexp_matches(c, '{_ODD}') THEN url_encode(c) ELSE c END), ''), '')"
 
 
 @query(f"WITH {url_cte('u', 'stored_results', 'result_id')} SELECT result_id, CASE WHEN ok THEN lower({_ORIGIN} || {_UNSLASHED} || coalesce('?' || {_KEPT}, '')) ELSE url END AS norm FROM u")
@@ -136,7 +141,11 @@ def url_domain(spark, d):
     return _stored(spark, d).select("result_id", U.domain(u).alias("domain"), U.domain(u, False).alias("name"), U.same_domain(u, p).alias("same"))
 
 
-_C1 = "regexp_replace(trim(url), '[<>''\"]', '', 'g')"
+def _form_trim(c: str) -> str:
+    return f"regexp_replace({c}, '^{U.FORM_WS}+|{U.FORM_WS}+\\z', '', 'g')"
+
+
+_C1 = f"regexp_replace({_form_trim('url')}, '[<>''\"]', '', 'g')"
 
 
 @query(f"""WITH {url_cte('u', 'stored_results', 'result_id')} SELECT result_id, CASE WHEN regexp_matches({_C1}, '^https?://') THEN {_C1} ELSE 'https://' || {_C1} END AS v1,
@@ -147,10 +156,11 @@ def url_sanitize(spark, d):
 
 
 def _san(c: str) -> str:
-    return f"substr(trim(regexp_replace(regexp_replace({c}, '[<>\"''%;()&+]', '', 'g'), '--|/\\*|\\*/', '', 'g')), 1, 1000)"
+    clean = f"regexp_replace(regexp_replace({c}, '[<>\"''%;()&+]', '', 'g'), '--|/\\*|\\*/', '', 'g')"
+    return f"substr({_form_trim(clean)}, 1, 1000)"
 
 
-@query(f"""SELECT doc_id, substr(regexp_replace(trim(text), '[<>''\"&]', '', 'g'), 1, 500) AS v1, {_san('text')} AS v2, CASE WHEN list_contains({_list(U.FORM_LANGUAGES)}, lang) THEN lang ELSE 'en' END AS code,
+@query(f"""SELECT doc_id, substr(regexp_replace({_form_trim('text')}, '[<>''\"&]', '', 'g'), 1, 500) AS v1, {_san('text')} AS v2, CASE WHEN list_contains({_list(U.FORM_LANGUAGES)}, lang) THEN lang ELSE 'en' END AS code,
   array_to_string(list_slice(list_filter(list_transform(string_split(text, ','), lambda x: {_san('x')}), lambda x: length(x) BETWEEN 1 AND 100), 1, 50), '|') AS keywords FROM documents""")
 def text_strings_sanitize(spark, d):
     t = F.col("text")

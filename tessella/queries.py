@@ -28,8 +28,14 @@ def p5_paths(spark: SparkSession, d: str) -> DataFrame:
     return _tree(spark, d, True).where("ring_state = 0").select(F.col("name").alias("url"), F.array_join("path", "\n").alias("path"), F.size("path").cast("long").alias("n_path"))
 
 
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of a url outside rings and a url under it, with the steps between them."""
+    steps = _tree(spark, d, True).where("ring_state = 0").select("name", F.size("path").alias("n"), F.posexplode("path").alias("at", "ancestor"))
+    return steps.where("at < n - 1").select("ancestor", F.col("name").alias("url"), (F.col("n") - 1 - F.col("at")).cast("long").alias("distance"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p5_found, p5_paths)} | catalog_text.QUERIES | catalog_crawl.QUERIES
+    return {f.__name__: f for f in (p5_found, p5_paths, p5_descendants)} | catalog_text.QUERIES | catalog_crawl.QUERIES
 
 
 _PARENTS = """
@@ -49,6 +55,8 @@ def oracle_sql() -> dict[str, str]:
               CAST(CASE WHEN NOT l.ring THEN 0 WHEN l.root = l.url THEN 1 ELSE 2 END AS BIGINT) AS ring_state,
               CASE WHEN l.ring THEN -1 ELSE coalesce(b.n, 0) END AS n_below
             FROM fin l LEFT JOIN below b ON b.url = l.url""",
+        "p5_descendants": f"""WITH RECURSIVE {_PARENTS}
+            SELECT w.cur AS ancestor, w.url, w.d AS distance FROM walk w JOIN fin l ON l.url = w.url WHERE NOT l.ring AND w.d > 0""",
         "p5_paths": f"""WITH RECURSIVE {_PARENTS}
             SELECT url, array_to_string(list_reverse(seen), chr(10)) AS path, CAST(len(seen) AS BIGINT) AS n_path FROM fin WHERE NOT ring""",
     }

@@ -35,19 +35,25 @@ REQUIRED = ["url", "word_count", "links_found", "metadata.response_time_ms", "me
 
 
 def read_results(spark: SparkSession, folder: str, pattern: str | None = None) -> DataFrame:
-    """All results of a folder: .jsonl by line, .json one object or an array a file. What does not parse, or lacks a
-    required field, is left out; other files and subfolders are not read; pattern must occur in the path."""
-    lines = spark.read.schema(RESULT).option("mode", "DROPMALFORMED").option("pathGlobFilter", "*.jsonl").json(folder)
-    whole = spark.read.schema(RESULT).option("mode", "DROPMALFORMED").option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
-    parts = [x.where(F.col("_metadata.file_path").contains(pattern)) if pattern else x for x in (lines, whole)]
-    rows = parts[0].unionByName(parts[1])
-    for c in REQUIRED:
-        rows = rows.where(F.col(c).isNotNull())
-    return rows
+    """All results of a folder's .json and .jsonl files, compressed or not. A file holds one result a line, or one object or
+    array over many lines: it is read by line, and as a whole if no line of it is a result. What does not parse, or lacks a
+    required field, is left out, so session summaries are; other files and subfolders are not read. pattern must occur in
+    the path. An empty folder gives no rows."""
+
+    def results(whole: bool) -> DataFrame:
+        rows = spark.read.schema(RESULT).option("mode", "DROPMALFORMED").option("multiLine", whole).option("pathGlobFilter", "*.json*").json(folder)
+        rows = rows.withColumn("_file", F.col("_metadata.file_path"))
+        rows = rows.where(F.col("_file").contains(pattern)) if pattern else rows
+        for c in REQUIRED:
+            rows = rows.where(F.col(c).isNotNull())
+        return rows
+
+    lines = results(False)
+    return lines.unionByName(results(True).join(lines.select("_file").distinct(), "_file", "left_anti")).drop("_file")
 
 
 def write_results(rows: DataFrame, folder: str, kind: str = "jsonl", compressed: bool = False) -> None:
-    """kind: jsonl (files named *.json by Spark, read back by line), csv (quoted, no header) or parquet."""
+    """kind: jsonl (a result a line; read_results reads it back), csv (quoted, no header) or parquet."""
     out = rows.write.mode("append")
     if compressed:
         out = out.option("compression", "gzip")

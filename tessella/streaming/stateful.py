@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,37 +21,39 @@ def throughput(stream: DataFrame, time: str = "ts", width: str = "1 hour", delay
     return stream.withWatermark(time, delay).groupBy(F.window(time, width).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def rate_windows(stream: DataFrame, domain: str, millis: str, max_requests: int, window_ms: int, idle_ms: int | None = None) -> DataFrame:
-    """domain, millis, in_window, over_limit, wait_ms per request, in the order of arrival within a batch sorted by time.
+def rate_windows(stream: DataFrame, domain: str, millis: str, max_requests: int, window_ms: int, late_ms: int = 3_600_000, bucket_ms: int = 3_600_000, idle_ms: int | None = None) -> DataFrame:
+    """domain, millis, in_window, over_limit, wait_ms per request.
 
-    State per domain: the times within the window. With idle_ms, a domain without requests for so
-    long (processing time) is forgotten; a stream that is to end by itself must go without, as pending timeouts keep it alive.
+    in_window counts the domain's requests of [millis - window_ms, millis] among all that have arrived by then, those of the
+    same batch included. A late row counts its own past, never its future; what was given out before is not revised. State
+    keeps late_ms beyond the window; a row later than that counts what is left. A domain's requests are split into buckets
+    of time (a request that lies in the next bucket's window goes there too), so that no domain is one task. With idle_ms, a
+    bucket without requests for so long (processing time) is forgotten; a stream that is to end by itself must go without,
+    as pending timeouts keep it alive. Null domains and times are left out.
     """
     out = f"{domain} string, {millis} long, in_window long, over_limit boolean, wait_ms long"
+    width = max(bucket_ms, window_ms)
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        kept = list(state.get[0]) if state.exists else []
-        rows = []
-        times = sorted(int(t) for pdf in parts for t in pdf[millis])
-        i = 0
-        while i < len(times):
-            t = times[i]
-            same = 1
-            while i + same < len(times) and times[i + same] == t:
-                same += 1
-            kept = [x for x in kept if x >= t - window_ms] + [t] * same
-            n = len(kept)
-            rows += [(key[0], t, n, n > max_requests, window_ms // max_requests if n > 1 else 0)] * same
-            i += same
-        state.update((kept,))
+        new = pd.concat(list(parts))
+        kept = np.array(state.get[0] if state.exists else [], np.int64)
+        times = np.sort(np.concatenate([kept, new["_ms"].to_numpy(np.int64)]))
+        own = np.sort(new["_ms"].to_numpy(np.int64)[new["_own"].to_numpy(bool)])
+        state.update((times[np.searchsorted(times, times[-1] - window_ms - late_ms) :].tolist(),))
         if idle_ms:
             state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(rows, columns=[domain, millis, "in_window", "over_limit", "wait_ms"])
-
-    return stream.where(F.col(domain).isNotNull() & F.col(millis).isNotNull()).groupBy(domain).applyInPandasWithState(step, out, "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+        n = np.searchsorted(times, own, "right") - np.searchsorted(times, own - window_ms, "left")
+        yield pd.DataFrame({domain: key[0], millis: own, "in_window": n, "over_limit": n > max_requests, "wait_ms": np.where(n > 1, window_ms // max_requests, 0)})
+
+    ms = F.col(millis)
+    first = F.floor(ms / width).cast("long")
+    there = F.when(first != F.floor((ms + window_ms) / width), F.array(first, first + 1)).otherwise(F.array(first))
+    rows = stream.where(F.col(domain).isNotNull() & ms.isNotNull()).select(F.col(domain), ms.alias("_ms"), first.alias("_first"), F.explode(there).alias("_bucket"))
+    rows = rows.select(domain, "_bucket", "_ms", (F.col("_bucket") == F.col("_first")).alias("_own"))
+    return rows.groupBy(domain, "_bucket").applyInPandasWithState(step, out, "times array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def ttl_lookup(stream: DataFrame, cache: DataFrame, key: str, time: str, ttl_seconds: int) -> DataFrame:

@@ -1,4 +1,6 @@
+import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,9 @@ from tessella.functions import urls as U
 from tessella.operators.hierarchy import hierarchy
 from tessella.operators.politeness import in_window, robots_rules, robots_verdict
 from tessella.plans.config import Environment
+from tessella.sources import results as R
 from tessella.sources.fetch import accept_language
+from tessella.streaming.stateful import rate_windows
 
 
 def brute_tree(rows):
@@ -112,3 +116,41 @@ def test_configuration():
     assert Environment().with_env({"CRAWLER_ENV": "production", "METRICS_PORT": "x"}).optimized().persist_queue
     assert accept_language([]) == "en-US,en;q=0.9"
     assert accept_language(["en"]).startswith("en-US,en-GB;q=0.9")
+
+
+def test_results_written_are_read_back(spark, tmp_path):
+    meta = {"status_code": 200, "content_type": None, "content_length": None, "response_time_ms": 5, "depth": 1, "parent_url": None, "crawl_session_id": "s"}
+    stamp = {"secs_since_epoch": 1, "nanos_since_epoch": 0}
+    one = lambda i: {"url": f"https://a.test/{i}", "title": None, "content": "x\ny", "word_count": 2, "language": None, "links_found": [], "metadata": meta, "timestamp": stamp}
+    rows = spark.createDataFrame([one(i) for i in range(200)], R.RESULT)
+    R.write_results(rows, str(tmp_path / "a"))
+    R.write_results(rows.where("url like '%7'"), str(tmp_path / "a"), compressed=True)
+    assert R.read_results(spark, str(tmp_path / "a")).count() == 220
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "object.json").write_text(json.dumps(one(1), indent=2))
+    (tmp_path / "b" / "array.json").write_text(json.dumps([one(2), one(3)], indent=2))
+    (tmp_path / "b" / "lines.jsonl").write_text("\n".join([json.dumps(one(4)), "{broken", json.dumps(one(5) | {"word_count": None}), json.dumps(one(6))]))
+    (tmp_path / "b" / "session_1.json").write_text(json.dumps({"session_id": "s", "total": 3}))
+    (tmp_path / "b" / "note.txt").write_text(json.dumps(one(9)))
+    assert sorted(r.url[-1] for r in R.read_results(spark, str(tmp_path / "b")).collect()) == ["1", "2", "3", "4", "6"]
+    assert [r.url[-1] for r in R.read_results(spark, str(tmp_path / "b"), "object").collect()] == ["1"]
+
+
+def test_limiter_over_batches_with_late_rows(spark, tmp_path):
+    batches = [[("a", 10_000), ("b", 3_599_500)], [("a", 9_500), ("a", 10_400), ("b", 3_600_100)], [("a", 10_500), (None, 1), ("a", None)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "host string, ms long").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        time.sleep(1.1)  # files are taken in the order of their times
+    stream = spark.readStream.schema("host string, ms long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    q = rate_windows(stream, "host", "ms", 2, 1000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect()))
+    assert got == [("a", 9_500, 1, False, 0), ("a", 10_000, 1, False, 0), ("a", 10_400, 3, True, 500), ("a", 10_500, 4, True, 500), ("b", 3_599_500, 1, False, 0), ("b", 3_600_100, 2, False, 500)]
+
+
+def test_forms_and_queries(spark):
+    df = spark.createDataFrame([("\u3000\ufeff a<b \u2028",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(U.sanitize_text_simple(F.col("t"))).collect()] == ["ab", None, ""]
+    urls = {"https://A.test/x/?q=%C3%A4+b&utm%5Fsource=1&k": "https://a.test/x?q=%c3%a4%20b&k=", "https://a.test/?q=%zz": "https://a.test/?q=%zz", "https://a.test/?a=1%262": "https://a.test/?a=1&2", "no url": "no url"}
+    got = {r[0]: r[1] for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.normalize_tracking(F.col("u"))).collect()}
+    assert got == urls
