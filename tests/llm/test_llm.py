@@ -66,6 +66,57 @@ def test_leaks(spark):
     assert sorted(map(tuple, leakage.leaks(docs, items).collect())) == [(1, 9), (2, 9), (3, 9), (7, 9)]
 
 
+def _brute(doc, item):
+    """The statement itself: a run of RUN words, or two thirds of the words in order in a passage of 4/3 of the length."""
+    n = len(item)
+    grams = {tuple(item[i : i + leakage.RUN]) for i in range(n - leakage.RUN + 1)}
+    if any(tuple(doc[i : i + leakage.RUN]) in grams for i in range(len(doc) - leakage.RUN + 1)):
+        return True
+    for i in range(len(doc)):
+        if doc[i] in item:
+            row = [0] * (n + 1)
+            for w in doc[i : i + n + n // 3 + 2]:
+                last = 0
+                for j in range(n):
+                    row[j + 1], last = max(row[j + 1], row[j]) if w != item[j] else last + 1, row[j + 1]
+            if row[n] * 3 >= 2 * n:
+                return True
+    return False
+
+
+@pytest.mark.parametrize("n", [12, 30, 60, 120, 240])
+def test_leaks_equal_brute_force(spark, n, monkeypatch):
+    monkeypatch.setattr(leakage, "BLOCK", 3000)
+    rnd = random.Random(n)
+    common = [f"c{i}" for i in range(12)]
+    items = {k: [rnd.choice(common) if i % 3 else f"r{k}x{i}" for i in range(n)] for k in range(3)}
+    docs = {}
+    for d in range(24):
+        item = items[d % 3]
+        drop = {0: 0.2, 1: 0.31, 2: 0.36}[d // 3 % 3]
+        kept = [w for w in item if rnd.random() > drop] if d < 9 else [w if rnd.random() > drop else "zz" for w in item]
+        if d >= 18:  # exactly two thirds, single words put in or left out, rare words spread evenly
+            kept = [w for i, w in enumerate(item) if i % 3 != d % 3]
+            kept = [x for i, w in enumerate(kept) for x in ([w, "yy"] if i % 3 == 0 and d % 2 else [w])]
+        docs[d] = [rnd.choice(common) for _ in range(rnd.randrange(40))] + kept + [rnd.choice(common) for _ in range(rnd.randrange(40))]
+    frame = spark.createDataFrame([(d, " ".join(ws)) for d, ws in docs.items()], "doc_id long, text string")
+    asked = spark.createDataFrame([(k, " ".join(ws)) for k, ws in items.items()], "item_id long, text string")
+    want = {(d, k) for d, ws in docs.items() for k, it in items.items() if _brute(ws, it)}
+    assert {tuple(r) for r in leakage.leaks(frame, asked).collect()} == want
+    assert any(d >= 18 for d, _ in want)
+
+
+def test_an_index_serves_many_item_sets(spark, monkeypatch):
+    monkeypatch.setattr(leakage, "ITEM_BLOCK", 1)
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abc"]
+    found = leakage.index(spark.createDataFrame(list(enumerate([*texts, None, ""])), "doc_id long, text string"))
+    for k in (0, 2):
+        assert [tuple(r) for r in leakage.leaks_in(found, spark.createDataFrame([(7, texts[k])], "item_id long, text string")).collect()] == [(k, 7)]
+    two = spark.createDataFrame([(7, texts[0]), (8, texts[1])], "item_id long, text string")
+    assert sorted(map(tuple, leakage.leaks_in(found, two).collect())) == [(0, 7), (1, 8)]
+    assert leakage.leaks(spark.createDataFrame([], "doc_id long, text string"), two).count() == 0
+
+
 def test_slots_and_messages():
     assert residue.has_slot("Dear {{ first_name }},") and residue.has_slot("by undefined, null min read") and residue.has_slot("x [INSERT NAME] y")
     assert not residue.has_slot("the line `Hello {{ name }}` is an example") and not residue.has_slot("${ZORK} is set") and not residue.has_slot("a <b>bold</b> word")
