@@ -66,6 +66,16 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return seen.seen_before(_stored(spark, d), "url", "result_id", "result_id")
 
 
+def p3_batches(spark: SparkSession, d: str) -> DataFrame:
+    """As p3_found, with the arrivals in two batches: the later one is held against what the earlier one left sealed."""
+    rows = _stored(spark, d)
+    middle = rows.agg(F.coalesce(F.avg("result_id"), F.lit(0.0))).first()[0]
+    early, late = rows.where(F.col("result_id") <= middle), rows.where(F.col("result_id") > middle)
+    first, known = seen.arrived(early, "url", "result_id")
+    second, _ = seen.arrived(late, "url", "result_id", known)
+    return seen.repeats(early, "result_id", "url", first, "result_id").unionByName(seen.repeats(late, "result_id", "url", second, "result_id"))
+
+
 def p3_rate(spark: SparkSession, d: str) -> DataFrame:
     return seen.error_rate(_stored(spark, d), "url", "result_id")
 
@@ -93,7 +103,7 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p1_rebuilt, p2_found, p3_found, p3_rate, p4_found, p4_body, p6_found, p6_templates, p7_ids, p8_found, p8_items, p9_found, p9_composition)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p1_rebuilt, p2_found, p3_found, p3_batches, p3_rate, p4_found, p4_body, p6_found, p6_templates, p7_ids, p8_found, p8_items, p9_found, p9_composition)}
 
 
 _LINES = r"""
@@ -107,7 +117,9 @@ bad AS (SELECT k.host, k.key FROM (SELECT host, key, count(DISTINCT url) AS n FR
 
 
 def oracle_sql() -> dict[str, str]:
+    again = "SELECT result_id FROM (SELECT result_id, row_number() OVER (PARTITION BY url ORDER BY result_id) AS r FROM stored_results WHERE url IS NOT NULL) WHERE r > 1"
     return {
         "p1_found": f"WITH {_LINES} SELECT result_id, CAST(line_no AS BIGINT) AS line_no FROM keyed JOIN bad USING (host, key)",
-        "p3_found": "SELECT result_id FROM (SELECT result_id, row_number() OVER (PARTITION BY url ORDER BY result_id) AS r FROM stored_results WHERE url IS NOT NULL) WHERE r > 1",
+        "p3_found": again,
+        "p3_batches": again,
     }

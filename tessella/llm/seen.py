@@ -1,12 +1,13 @@
 """Problem 3: has this key been seen before?
 
-Rows are cut by their order value into GENERATIONS sealed partitions, and keys by hash into shards of bounded size. In
-each shard and generation the new keys are sealed into a minimal perfect hash function (levels of bit arrays; a key's slot
-is the rank of its bit) and an array of FINGERPRINT_BITS-bit fingerprints by slot; the keys themselves are dropped. A later
-key is looked up in the sealed functions: at its slot, does the fingerprint agree? Within the current generation an exact
-set (the first row of each key) decides. So there are no false negatives, and a false positive only where a fingerprint
-agrees by chance; each hit names the row sealed at its slot, whose key is then compared exactly, which gives the measured
-rate of wrong answers and takes them out of the result.
+Rows arrive in batches; a batch is cut by its order value into sealed partitions (generations), and keys by hash into
+shards. In each shard and generation the new keys are sealed into a minimal perfect hash function (levels of packed bits
+with ranks by block; a key's slot is the rank of its bit) and an array of FINGERPRINT_BITS-bit fingerprints by slot, about
+2.5 bytes a key in all; they are written to the shared folder, and the keys themselves are dropped. A later key is looked up
+in the sealed functions of its shard: at its slot, does the fingerprint agree? Within the current generation an exact set
+(the first row of each key) decides. So there are no false negatives, and a false positive only where a fingerprint agrees
+by chance. Hits alone are then held exactly against the keys on storage, which gives the measured rate of wrong answers
+and takes them out of the result.
 
 Before sharding each key is reduced to its first row per generation, so a key that holds a third of all rows is no hot
 shard. Nulls: a null key or order value is never equal to another and never a case; '' is a key like any other. An empty
@@ -15,7 +16,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -27,7 +28,7 @@ from tessella.common import staged
 GENERATIONS = 8
 SHARD_KEYS = 250_000
 FINGERPRINT_BITS = 16
-_LEVELS, _GAMMA = 24, 2.0
+_LEVELS, _GAMMA, _BLOCK = 24, 2.0, 512
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -39,120 +40,168 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
+class _Bits:
+    """A packed bit array with the number of set bits before each block."""
+
+    def __init__(self, packed: np.ndarray, size: int):
+        self.packed, self.size = packed, size
+        ones = np.bitwise_count(packed).astype(np.uint32)
+        self.before = np.concatenate([[0], np.cumsum(np.add.reduceat(ones, np.arange(0, len(ones), _BLOCK // 8)))]).astype(np.uint32)
+
+    @property
+    def ones(self) -> int:
+        return int(self.before[-1])
+
+    def at(self, i: np.ndarray) -> np.ndarray:
+        return (self.packed[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
+
+    def rank(self, i: np.ndarray) -> np.ndarray:
+        """Set bits before each i."""
+        block = i // _BLOCK
+        first = block * (_BLOCK // 8)
+        whole = self.packed[np.minimum(first[:, None] + np.arange(_BLOCK // 8), len(self.packed) - 1)]
+        full = (i >> 3) - first
+        counted = np.where(np.arange(_BLOCK // 8) < full[:, None], np.bitwise_count(whole), 0).sum(1)
+        part = np.bitwise_count(self.packed[i >> 3] & ((1 << (i & 7)) - 1).astype(np.uint8))
+        return self.before[block].astype(np.int64) + counted + part
+
+
 class Sealed:
-    """Minimal perfect hash over distinct 64-bit keys, fingerprints from a second hash, and a payload by slot."""
-
-    def __init__(self, h1: np.ndarray, h2: np.ndarray, payload: np.ndarray, bits: int = FINGERPRINT_BITS):
-        self.n, self.mask = len(h1), np.uint64((1 << bits) - 1)
-        self.levels: list[np.ndarray] = []  # per level: prefix ranks by bit position, -1 where the bit is not set
-        self.rest: dict[int, int] = {}
-        left, base = np.arange(len(h1)), 0
-        slot = np.full(len(h1), -1, np.int64)
+    """Minimal perfect hash over distinct 64-bit keys, and fingerprints from a second hash by slot."""
+
+    def __init__(self, h1: np.ndarray, h2: np.ndarray, bits: int = FINGERPRINT_BITS):
+        self.n, self.bits = len(h1), bits
+        self.levels: list[_Bits] = []
+        left = np.arange(len(h1))
         for level in range(_LEVELS):
             if not len(left):
                 break
             size = max(8, int(_GAMMA * len(left)))
             at = (_mix(h1[left], level + 1) % np.uint64(size)).astype(np.int64)
             alone = np.bincount(at, minlength=size) == 1
-            rank = np.where(alone, np.cumsum(alone) - 1 + base, -1).astype(np.int32)
-            self.levels.append(rank)
-            placed = alone[at]
-            slot[left[placed]] = rank[at[placed]]
-            base += int(alone.sum())
-            left = left[~placed]
-        for i in left:
-            self.rest[int(h1[i])] = slot[i] = base
-            base += 1
-        self.prints = np.zeros(self.n, np.uint32)
-        self.payload = np.zeros(self.n, np.int64)
-        self.prints[slot] = (h2 & self.mask).astype(np.uint32)
-        self.payload[slot] = payload
+            self.levels.append(_Bits(np.packbits(alone, bitorder="little"), size))
+            left = left[~alone[at]]
+        self.rest = np.sort(h1[left])  # keys that no level could place
+        self.prints = np.zeros(self.n, np.uint16)
+        self.prints[self.slots(h1)] = h2 & np.uint64((1 << bits) - 1)
 
     def slots(self, h1: np.ndarray) -> np.ndarray:
         """The slot of each key sealed here; any slot, or -1, for others."""
-        out, left = np.full(len(h1), -1, np.int64), np.arange(len(h1))
-        for level, rank in enumerate(self.levels):
-            r = rank[(_mix(h1[left], level + 1) % np.uint64(len(rank))).astype(np.int64)]
-            out[left[r >= 0]] = r[r >= 0]
-            left = left[r < 0]
-        if self.rest:
-            for i in left:
-                out[i] = self.rest.get(int(h1[i]), -1)
+        out, left, base = np.full(len(h1), -1, np.int64), np.arange(len(h1)), 0
+        for level, b in enumerate(self.levels):
+            at = (_mix(h1[left], level + 1) % np.uint64(b.size)).astype(np.int64)
+            on = b.at(at)
+            out[left[on]] = base + b.rank(at[on])
+            left, base = left[~on], base + b.ones
+        if len(self.rest) and len(left):
+            at = np.minimum(np.searchsorted(self.rest, h1[left]), len(self.rest) - 1)
+            out[left] = np.where(self.rest[at] == h1[left], base + at, -1)
         return out
 
     def lookup(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """The payload at the slot where the fingerprint agrees, else -1."""
+        """Whether the fingerprint at the key's slot agrees."""
         s = self.slots(h1)
         hit = s >= 0
-        hit[hit] = self.prints[s[hit]] == (h2[hit] & self.mask)
-        return np.where(hit, self.payload[np.maximum(s, 0)] if self.n else -1, -1)
-
-
-def _shard(bits: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sealed: list[Sealed] = []
-        out = []
-        for _, g in pdf.sort_values("gen", kind="stable").groupby("gen", sort=True):
-            g = g.drop_duplicates("h1")  # equal 64-bit hashes of different keys: the exact check below sees to them
+        hit[hit] = self.prints[s[hit]] == (h2[hit] & np.uint64((1 << self.bits) - 1)).astype(np.uint16)
+        return hit
+
+    def to_bytes(self) -> bytes:
+        head = np.array([self.n, self.bits, len(self.rest), len(self.levels), *(b.size for b in self.levels)], np.int64)
+        return b"".join([head.tobytes(), self.rest.tobytes(), self.prints.tobytes(), *(b.packed.tobytes() for b in self.levels)])
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Sealed:
+        self = cls.__new__(cls)
+        self.n, self.bits, rest, levels = np.frombuffer(data, np.int64, 4).tolist()
+        sizes, at = np.frombuffer(data, np.int64, levels, 32).tolist(), 32 + 8 * levels
+        self.rest = np.frombuffer(data, np.uint64, rest, at)
+        self.prints = np.frombuffer(data, np.uint16, self.n, at + 8 * rest)
+        at += 8 * rest + 2 * self.n
+        self.levels = []
+        for size in sizes:
+            self.levels.append(_Bits(np.frombuffer(data, np.uint8, -(-size // 8), at), size))
+            at += -(-size // 8)
+        return self
+
+
+@dataclass
+class Seen:
+    """What is known of all earlier batches, as tables in the shared folder.
+
+    sealed: shard, part, blob; keys: key, at (order value) of the first row of each key and generation, read for hits only."""
+
+    shards: int
+    sealed: DataFrame
+    keys: DataFrame
+
+
+def _step(bits: int):
+    def run(new: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
+        sealed = [Sealed.from_bytes(b) for b in old.sort_values("part")["blob"]]
+        answers, blobs = [], []
+        for _, g in new.sort_values("gen", kind="stable").groupby("gen", sort=True):
+            g = g.drop_duplicates("h1")  # equal 64-bit hashes of different keys get no answer and are settled exactly
             h1, h2 = g["h1"].to_numpy().view(np.uint64), g["h2"].to_numpy().view(np.uint64)
-            match = np.full(len(g), -1, np.int64)
+            hit = np.zeros(len(g), bool)
             for s in sealed:
-                found = s.lookup(h1, h2)
-                match = np.where(match < 0, found, match)
-            new = match < 0
-            sealed.append(Sealed(h1[new], h2[new], g["first"].to_numpy()[new], bits))
-            out.append(pd.DataFrame({"first": g["first"], "match": match, "probes": len(sealed) - 1}))
-        return pd.concat(out) if out else pd.DataFrame({"first": [], "match": [], "probes": []})
+                hit |= s.lookup(h1, h2)
+            answers.append(pd.DataFrame({"shard": g["shard"], "at": g["at"], "hit": hit, "probes": len(sealed), "part": 0, "blob": None}))
+            if not hit.all():
+                sealed.append(Sealed(h1[~hit], h2[~hit], bits))
+                blobs.append(pd.DataFrame({"shard": [g["shard"].iloc[0]], "at": [None], "hit": [None], "probes": [0], "part": [len(sealed)], "blob": [sealed[-1].to_bytes()]}))
+        out = answers + blobs
+        return pd.concat([x.astype(object) for x in out]) if out else pd.DataFrame(columns=["shard", "at", "hit", "probes", "part", "blob"])
 
     return run
 
 
-def lookups(rows: DataFrame, key: str, order: str, bits: int = FINGERPRINT_BITS, generations: int = GENERATIONS) -> tuple[DataFrame, DataFrame]:
-    """(firsts, answers): of the first row of each key and generation, the row its look-up hit (-1: none) and whether it is right."""
+def arrived(rows: DataFrame, key: str, order: str, seen: Seen | None = None, bits: int = FINGERPRINT_BITS, generations: int = GENERATIONS) -> tuple[DataFrame, Seen]:
+    """One batch: (answers, what is known after it). answers: key, at, probes, hit, right of the first row of each key and
+    generation; hit is what the look-up says (null: none was made), right what is so. Each call only reads the sealed
+    functions of earlier batches. The order values of a batch are larger than those before."""
     base = rows.select(F.col(key).alias("key"), F.col(order).cast("long").alias("ord")).where("key is not null and ord is not null")
     lo, hi, n = base.agg(F.min("ord"), F.max("ord"), F.count("*")).first()
     width = max(1, ((hi or 0) - (lo or 0)) // generations + 1)
     gen = F.floor((F.col("ord") - F.lit(lo or 0)) / F.lit(width)).cast("int")
-    firsts = staged(base.groupBy("key", gen.alias("gen")).agg(F.min("ord").alias("first")), "firsts")
-    shards = max(1, -(-n // SHARD_KEYS))
-    hashed = firsts.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "gen", "first")
-    got = hashed.groupBy(F.pmod("h1", F.lit(shards)).alias("shard")).applyInPandas(lambda pdf: _shard(bits)(pdf), "first long, match long, probes int")
-    got = staged(got, "answers")
-    # exact check: compare the key of a hit's row with the key of the row sealed at its slot
-    hits = got.where("match >= 0").join(firsts.select("first", "key"), "first").join(firsts.select(F.col("first").alias("match"), F.col("key").alias("sealed")), "match")
-    checked = staged(hits.select("first", (F.col("key") == F.col("sealed")).alias("right")), "checked")
-    return firsts, got.join(checked, "first", "left").select("first", "match", "probes", F.coalesce("right", F.lit(False)).alias("right"))
+    firsts = staged(base.groupBy("key", gen.alias("gen")).agg(F.min("ord").alias("at")), "firsts")
+    shards = seen.shards if seen else max(1, -(-n // SHARD_KEYS))
+    hashed = firsts.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "gen", "at").withColumn("shard", F.pmod("h1", F.lit(shards)).cast("int"))
+    spark = rows.sparkSession
+    old = seen.sealed if seen else spark.createDataFrame([], "shard int, part int, blob binary")
+    run = _step(bits)
+    got = staged(hashed.groupBy("shard").cogroup(old.withColumnRenamed("shard", "of").groupBy("of")).applyInPandas(lambda new, old: run(new, old), "shard int, at long, hit boolean, probes int, part int, blob binary"), "seen")
+    answers = firsts.join(got.where("at is not null").select("at", "hit", "probes"), "at", "left")
+    # exact check of hits, and of keys without an answer: does an earlier row have the key?
+    doubtful = staged(answers.where("hit or hit is null"), "doubtful")
+    keys = firsts.select("key", "at")
+    keys = seen.keys.unionByName(keys) if seen else keys
+    oldest = keys.join(doubtful.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("at").alias("oldest"))
+    settled = doubtful.join(oldest, "key").select("key", "at", "hit", "probes", (F.col("oldest") < F.col("at")).alias("right"))
+    all_ = answers.where("not hit").select("key", "at", "hit", "probes", F.lit(False).alias("right")).unionByName(settled)
+    blobs = got.where("blob is not null").select("shard", "part", "blob")
+    return staged(all_, "answers"), Seen(shards, seen.sealed.unionByName(blobs) if seen else blobs, keys)
+
+
+def repeats(rows: DataFrame, order: str, key: str, answers: DataFrame, out: str) -> DataFrame:
+    """The order values of a batch's rows whose key has come before, from its answers."""
+    fresh = answers.where("not right").select(F.col("at").alias(out))
+    rows = rows.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(F.col(order).cast("long").alias(out))
+    return rows.join(fresh, out, "left_anti").distinct()
 
 
 def seen_before(rows: DataFrame, key: str, order: str, out: str) -> DataFrame:
-    """The order values of rows whose key stands in a row with a smaller one.
-
-    A wrong hit may hide a right one in another generation, and a key whose hash equals another's is left out of the
-    look-ups; both kinds are few and settled exactly by their keys.
-    """
-    firsts, answers = lookups(rows, key, order)
-    answers = staged(answers, "verdicts")
-    doubtful = answers.where("match >= 0 and not right").select("first").unionByName(firsts.select("first").join(answers.select("first"), "first", "left_anti"))
-    keys = staged(firsts.join(doubtful, "first", "left_semi").select("key").distinct(), "doubtful")
-    settled = firsts.join(keys, "key", "left_semi").groupBy("key").agg(F.min("first").alias("first"))
-    again = answers.where("right").select("first")
-    fresh = firsts.join(keys, "key", "left_anti").select("first").join(again, "first", "left_anti").unionByName(settled.select("first"))
-    return (
-        rows.where(F.col(key).isNotNull() & F.col(order).isNotNull())
-        .select(F.col(order).cast("long").alias(out))
-        .join(fresh.select(F.col("first").alias(out)), out, "left_anti")
-        .distinct()
-    )
+    """The order values of rows whose key stands in a row with a smaller one; all rows as one batch."""
+    return repeats(rows, order, key, arrived(rows, key, order)[0], out)
 
 
 def error_rate(rows: DataFrame, key: str, order: str) -> DataFrame:
     """One row: look-ups, sealed functions probed, hits, wrong hits, and the measured and the expected rate of wrong answers."""
-    _, answers = lookups(rows, key, order)
+    answers = arrived(rows, key, order)[0].where("hit is not null")
     a = answers.agg(
         F.count("*").alias("lookups"),
         F.coalesce(F.sum("probes"), F.lit(0)).cast("long").alias("probes"),
-        F.count_if(F.col("match") >= 0).alias("hits"),
-        F.count_if((F.col("match") >= 0) & ~F.col("right")).alias("wrong"),
-        F.coalesce(F.sum(F.when(F.col("match") < 0, F.col("probes")).when(~F.col("right"), F.col("probes")).otherwise(0)), F.lit(0)).alias("open"),
+        F.count_if("hit").alias("hits"),
+        F.count_if(F.col("hit") & ~F.col("right")).alias("wrong"),
+        F.coalesce(F.sum(F.when(~F.col("right"), F.col("probes")).otherwise(0)), F.lit(0)).alias("open"),
     )
     return a.select("lookups", "probes", "hits", "wrong", F.when(F.col("lookups") > 0, F.col("wrong") / F.col("lookups")).otherwise(0.0).alias("wrong_rate"), F.when(F.col("lookups") > 0, F.col("open") / F.lit(float(1 << FINGERPRINT_BITS)) / F.col("lookups")).otherwise(0.0).alias("expected_rate"))

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import body, bpe, features, layout, leakage, residue, seen, sitelines, spam, subjects
 
@@ -25,23 +26,34 @@ def test_site_lines_and_deltas(spark):
 def test_sealed_has_no_false_negatives(bits):
     rng = np.random.default_rng(1)
     h1, h2 = rng.integers(0, 2**63, 5000, dtype=np.uint64), rng.integers(0, 2**63, 5000, dtype=np.uint64)
-    s = seen.Sealed(h1, h2, np.arange(5000), bits)
-    assert sorted(s.slots(h1)) == list(range(5000)) and (s.lookup(h1, h2) == np.arange(5000)).all()
+    made = seen.Sealed(h1, h2, bits)
+    data = made.to_bytes()
+    s = seen.Sealed.from_bytes(data)
+    assert sorted(s.slots(h1)) == list(range(5000)) and s.lookup(h1, h2).all() and len(data) < 3 * 5000
     other = rng.integers(0, 2**63, 5000, dtype=np.uint64)
-    assert (s.lookup(other, other) >= 0).mean() < 2.0 ** (1 - bits) + 0.001
+    assert s.lookup(other, other).mean() < 2.0 ** (1 - bits) + 0.001
+    none = seen.Sealed.from_bytes(seen.Sealed(h1[:0], h2[:0]).to_bytes())
+    assert not none.lookup(h1, h2).any()
 
 
-def test_seen_before(spark):
+@pytest.mark.parametrize("bits", [1, 16])
+def test_seen_before(spark, bits):
     rnd = random.Random(1)
     rows = [(i, rnd.choice([f"k{rnd.randrange(200)}", "hot", None, ""])) for i in range(900)]
     df = spark.createDataFrame(rows, "result_id long, url string")
-    got = {r[0] for r in seen.seen_before(df, "url", "result_id", "result_id").collect()}
     known, want = set(), set()
     for i, u in rows:
         if u is not None:
             if u in known:
                 want.add(i)
             known.add(u)
+    assert {r[0] for r in seen.seen_before(df, "url", "result_id", "result_id").collect()} == want
+    got, state = set(), None  # batch after batch
+    for lo in (0, 300, 600):
+        batch = df.where(F.col("result_id").between(lo, lo + 299))
+        answers, state = seen.arrived(batch, "url", "result_id", state, bits, 2)
+        got |= {r[0] for r in seen.repeats(batch, "result_id", "url", answers, "result_id").collect()}
+        assert answers.where("right and hit is not null and not hit").count() == 0
     assert got == want
     assert seen.seen_before(df.limit(0), "url", "result_id", "result_id").count() == 0
 
