@@ -74,7 +74,13 @@ def paragraphs(text: str | None) -> list[str]:
     return out
 
 
+#: Letters in lower case, all else to spaces, byte by byte.
+_APART = bytes(c if c < 128 and chr(c).isalpha() else 32 for c in range(256)).lower()
+
+
 def terms(text: str) -> list[str]:
+    if text.isascii():  # the same as below by a table of bytes
+        return [w for w in text.encode().translate(_APART).decode().split() if len(w) > 2]
     text = text.lower()
     if not _WIDE.search(text):
         return _PLAIN(text)
