@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessella.functions.text import difficulty, reading_seconds, tokens
+from tessella.common import let, named
+from tessella.functions.text import WS, difficulty, reading_seconds, tokens
 
 #: Codes and names (fixed values).
 NAMES = {"en": "English", "fr": "French", "de": "German", "zh": "Chinese", "ja": "Japanese", "ko": "Korean", "es": "Spanish", "it": "Italian", "pt": "Portuguese", "ru": "Russian", "ar": "Arabic", "hi": "Hindi"}
@@ -31,33 +32,56 @@ PROFILES = {
 LEAST_HITS = 2
 
 
+_LONGEST = max(len(w) for ws in PROFILES.values() for w in ws.split())
+#: Scripts that are counted; none has characters before U+0300, which saves looking up the script of most.
+SCRIPTS = {"kana": r"\p{IsHiragana}\p{IsKatakana}", "hangul": r"\p{IsHangul}", "han": r"\p{IsHan}", "ru": r"\p{IsCyrillic}", "ar": r"\p{IsArabic}", "hi": r"\p{IsDevanagari}"}
+_ANY_SCRIPT = r"[\x{300}-\x{10FFFF}&&[" + "".join(SCRIPTS.values()) + "]]"
+_SPACE = WS[1:-1]
+#: A token that without what stands around its first and last letter is one word no longer than those of the profiles.
+_SHORT_WORD = rf"(?<![^{_SPACE}])[^\p{{L}}{_SPACE}]*+(\p{{L}}{{1,{_LONGEST}}}+)[^\p{{L}}{_SPACE}]*+(?![^{_SPACE}])"
+
+
 def _hits(low: Column, words: list[str]) -> Column:
     return F.size(F.filter(low, lambda w: w.isin(words)))
 
 
-def _count(t: Column, script: str) -> Column:
-    return F.regexp_count(t, F.lit(script))
+def _count(t: Column, chars: str) -> Column:
+    """How many characters of the class; runs of others go at once, where regexp_count makes a string of each."""
+    return F.length(F.regexp_replace(t, f"[^{chars}]+", ""))
 
 
-def scores(t: Column) -> Column:
-    """struct(code, score, rest): the best language, its share of the letters or hits, and the runner-up's."""
-    letters = _count(t, r"\p{L}")
-    low = F.transform(tokens(t), lambda w: F.regexp_replace(F.lower(w), r"^[^\p{L}]+|[^\p{L}]+$", ""))
-    hits = F.array(*[F.struct(_hits(low, ws.split()).alias("n"), F.lit(-i).alias("i"), F.lit(c).alias("c")) for i, (c, ws) in enumerate(PROFILES.items())])
-    ranked = F.sort_array(hits, asc=False)
-    best, second = ranked[0], ranked[1]
-    kana, hangul, han = _count(t, r"[\p{IsHiragana}\p{IsKatakana}]"), _count(t, r"\p{IsHangul}"), _count(t, r"\p{IsHan}")
-    other = {"ru": _count(t, r"\p{IsCyrillic}"), "ar": _count(t, r"\p{IsArabic}"), "hi": _count(t, r"\p{IsDevanagari}")}
+def _made(code: Column | str, score: Column, rest: Column) -> Column:
+    return named(code=F.lit(code) if isinstance(code, str) else code, score=score, rest=rest)
+
+
+def _by_script(n: Column) -> Column:
+    letters, kana, hangul, han = n["letters"], n["kana"], n["hangul"], n["han"]
     share = lambda c: c.cast("double") / letters
-    made = lambda code, score, rest: F.struct(F.lit(code).alias("code") if isinstance(code, str) else code.alias("code"), score.alias("score"), rest.alias("rest"))
     zero = F.lit(0.0)
     out = F.when(letters == 0, F.lit(None))
-    out = out.when((kana + han) * 5 >= letters, F.when(kana * 10 >= han, made("ja", share(kana + han), zero)).otherwise(made("zh", share(han), zero)))
-    out = out.when(hangul * 5 >= letters, made("ko", share(hangul), zero))
-    for code, n in other.items():
-        out = out.when(n * 2 >= letters, made(code, share(n), zero))
-    total = F.greatest(F.size(low), F.lit(1)).cast("double")
-    return out.when(best["n"] >= LEAST_HITS, made(best["c"], best["n"] / total, second["n"] / total)).otherwise(F.lit(None))
+    out = out.when((kana + han) * 5 >= letters, F.when(kana * 10 >= han, _made("ja", share(kana + han), zero)).otherwise(_made("zh", share(han), zero)))
+    out = out.when(hangul * 5 >= letters, _made("ko", share(hangul), zero))
+    for code in ("ru", "ar", "hi"):
+        out = out.when(n[code] * 2 >= letters, _made(code, share(n[code]), zero))
+    return out
+
+
+def _by_words(t: Column) -> Column:
+    def ranked(short: Column) -> Column:
+        return F.sort_array(F.array(*[named(n=_hits(short, ws.split()), i=F.lit(-i), c=F.lit(c)) for i, (c, ws) in enumerate(PROFILES.items())]), asc=False)
+
+    def best(r: Column) -> Column:
+        total = F.regexp_count(t, F.lit(f"[^{_SPACE}]+")).cast("double")
+        return F.when(r[0]["n"] >= LEAST_HITS, let(total, lambda n: _made(r[0]["c"], r[0]["n"] / n, r[1]["n"] / n)))
+
+    return let(let(F.regexp_extract_all(F.lower(t), F.lit(_SHORT_WORD), F.lit(1)), ranked), best)
+
+
+def scores(t: Column) -> Column:
+    """struct(code, score, rest): the best language, its share of the letters or hits, and the runner-up's. Texts without any
+    of the scripts are not counted for them; each count is made once."""
+    counts = named(letters=_count(t, r"\p{L}"), **{k: _count(t, v) for k, v in SCRIPTS.items()})
+    return F.coalesce(F.when(t.rlike(_ANY_SCRIPT), let(counts, _by_script)), _by_words(t))
 
 
 def detect(t: Column) -> Column:
@@ -66,8 +90,7 @@ def detect(t: Column) -> Column:
 
 def confidence(t: Column) -> Column:
     """How far the best language leads, 0..1."""
-    s = scores(t)
-    return F.when(s["score"] > 0, (s["score"] - s["rest"]) / s["score"])
+    return let(scores(t), lambda s: F.when(s["score"] > 0, (s["score"] - s["rest"]) / s["score"]))
 
 
 def typed(code: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import cleaning as C
 from tessella.functions import errors as E
 from tessella.functions import keywords as K
+from tessella.functions import lang as L
 from tessella.functions import urls as U
 from tessella.operators.hierarchy import hierarchy
 from tessella.operators.politeness import in_window, robots_rules, robots_verdict
@@ -154,3 +155,12 @@ def test_forms_and_queries(spark):
     urls = {"https://A.test/x/?q=%C3%A4+b&utm%5Fsource=1&k": "https://a.test/x?q=%c3%a4%20b&k=", "https://a.test/?q=%zz": "https://a.test/?q=%zz", "https://a.test/?a=1%262": "https://a.test/?a=1&2", "no url": "no url"}
     got = {r[0]: r[1] for r in spark.createDataFrame([(u,) for u in urls], "u string").select("u", U.normalize_tracking(F.col("u"))).collect()}
     assert got == urls
+
+
+def test_a_language_is_scored_once(spark):
+    rows = [(None, None, None), ("", None, None), ("'The' dog, OF", "en", 1.0), ("der dog in the", "en", 0.5), ("the the of\u3000das und", "en", 1 / 3), ("x" * 9 + "the of", None, None), ("ひらがな 漢字", "ja", 1.0), ("漢字 the", "zh", 1.0), ("мир", "ru", 1.0), ("мир the of and is", "en", 1.0)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, text string, code string, c double")
+    told = df.select("i", "code", F.round("c", 6), L.detect(F.col("text")), F.round(L.confidence(F.col("text")), 6))
+    assert all(r[1] == r[3] and r[2] == r[4] for r in told.collect())
+    plan = df.select(L.confidence(F.col("text")).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(" INSET ") == len(L.PROFILES)
