@@ -292,3 +292,17 @@ def test_spam_of_rare_collocations_and_lists(spark):
     rows += [(90, "https://b.test/1", None, "\n".join(f"Buy zork blat with zork blat or zork blat number{i}." for i in range(40)), 1)]
     rows += [(91, "https://c.test/1", None, "\n".join(f"#tag{c} #lamp{c}" for c in "abcdefghijklmnopqrstuvwxyz" * 2), 1)]
     assert [r[0] for r in body.spam_pages(spark.createDataFrame(rows, STORED)).orderBy("result_id").collect()] == [90, 91]
+
+
+def test_messages_of_long_sentences(spark):
+    gone = "The page that you were looking for could not be found, as it may have been moved to another part of this site."
+    look = "Please check the address that you typed for faults, or go to the start page and use the search box there."
+    zork = "Zork blat happened in the inner parts of the great machine that makes all of these things for everyone here"
+    quux = "Quux of the lower house has been told about all that, and someone of the night watch is on the way there"
+    prose = "The ferry leaves before dawn, and nobody in the village minds that it is so early, as all of them sleep so well."
+    rows = [(i, f"https://h{i}.test/{i}", None, f"{gone}\n{look}\n{gone} {look}", 1) for i in range(2)]
+    rows += [(10 + i, f"https://h{i % 3}.test/{i}", None, f"{zork} ({i})\n{quux} ({i})\nPage not found.\nTry again later.\nInternal server error", 1) for i in range(6)]
+    rows += [(20, "https://h8.test/1", None, f"{gone}\n{prose}\nAnd {prose[4:]}", 1), (21, "https://h9.test/1", None, f"{prose}\n{zork} (1)", 1)]
+    # a long message that recurs on its host, below a short line
+    rows += [(30 + i, f"https://k.test/{i}", None, f"{gone} {look} Try again later.\n{'abcdef'[i]}{'ghijkl'[i]}", 1) for i in range(6)]
+    assert sorted(r[0] for r in body.residue_pages(spark.createDataFrame(rows, STORED)).collect()) == [0, 1, *range(10, 16), *range(30, 36)]
